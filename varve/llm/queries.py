@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import quality_rules, url_filter, warc
+from varve.llm import compression_langid, pairwise_quality, quality_rules, url_filter, warc
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -40,10 +40,28 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(warc.archive(_read(spark, sf_dir, "pages")))
 
 
+def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = pairwise_quality.fit(docs, _read(spark, sf_dir, "labels"))
+    scored = docs.select(
+        "doc_id", pairwise_quality.is_held_out(F.col("doc_id")).alias("held_out"), model.score(F.col("text")).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= pairwise_quality.ACCEPT).cast("int"))
+
+
+def op7_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = pairwise_quality.is_held_out(F.col("doc_id"))
+    model = compression_langid.fit(docs, ~held_out)
+    return docs.select("doc_id", held_out.alias("held_out"), model.predict(F.col("text")).alias("p")).select("doc_id", "held_out", "p.*")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
     "op3_warc": op3_warc,
+    "op5_pairwise_quality": op5_pairwise_quality,
+    "op7_compression_langid": op7_compression_langid,
 }
 
 ORACLES: dict[str, str] = {}
