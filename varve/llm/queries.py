@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import compression_langid, pairwise_quality, quality_rules, url_filter, warc
+from varve.llm import byte_bpe, compression_langid, pairwise_quality, quality_rules, token_records, url_filter, warc
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -49,6 +50,11 @@ def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= pairwise_quality.ACCEPT).cast("int"))
 
 
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoder = token_records.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    return token_records.read_documents(token_records.archive(_read(spark, sf_dir, "documents"), encoder))
+
+
 def op7_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = pairwise_quality.is_held_out(F.col("doc_id"))
@@ -56,12 +62,19 @@ def op7_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), model.predict(F.col("text")).alias("p")).select("doc_id", "held_out", "p.*")
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bpe = byte_bpe.ByteBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return _read(spark, sf_dir, "documents").select("doc_id", bpe.digest(F.col("text")).alias("d")).select("doc_id", "d.*")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
     "op3_warc": op3_warc,
     "op5_pairwise_quality": op5_pairwise_quality,
+    "op6_token_records": op6_token_records,
     "op7_compression_langid": op7_compression_langid,
+    "op8_byte_bpe": op8_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {}
