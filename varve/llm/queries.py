@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import byte_bpe, compression_langid, pairwise_quality, quality_rules, token_records, url_filter, warc
+from varve.llm import byte_bpe, compression_langid, near_dedup, pairwise_quality, quality_rules, token_records, url_filter, warc
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -41,6 +41,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(warc.archive(_read(spark, sf_dir, "pages")))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), near_dedup.NearDedup(percent=85))
+
+
 def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = pairwise_quality.fit(docs, _read(spark, sf_dir, "labels"))
@@ -71,6 +75,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
     "op3_warc": op3_warc,
+    "op4_near_dedup": op4_near_dedup,
     "op5_pairwise_quality": op5_pairwise_quality,
     "op6_token_records": op6_token_records,
     "op7_compression_langid": op7_compression_langid,
