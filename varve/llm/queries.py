@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import byte_bpe, compression_langid, decontaminate, near_dedup, pairwise_quality, quality_rules, token_records, url_filter, warc
+from varve.llm import byte_bpe, compression_langid, decontaminate, line_dedup, near_dedup, pairwise_quality, quality_rules, token_records, url_filter, warc
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -71,6 +71,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", bpe.digest(F.col("text")).alias("d")).select("doc_id", "d.*")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.summary(docs, line_dedup.find_duplicates(docs))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     pairs = decontaminate.contamination(docs, _read(spark, sf_dir, "benchmark"))
@@ -86,6 +91,7 @@ QUERIES = {
     "op6_token_records": op6_token_records,
     "op7_compression_langid": op7_compression_langid,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 

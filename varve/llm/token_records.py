@@ -3,7 +3,8 @@
 A data file is a sequence of frames in the TFRecord layout: 8 bytes of little-endian length, the
 masked CRC-32C of those 8 bytes, the record, the masked CRC-32C of the record. A separate index
 file holds the 8-byte offset of every frame, so a shuffled reader seeks to any record. A record is
-a 16-byte head (flags, reserved, document id) and the ids as little-endian unsigned 32-bit integers.
+a 16-byte head (flags, number of ids, document id) and the ids as little-endian unsigned integers of
+2 bytes if the vocabulary fits, else 4, padded with zeros to a multiple of 4 bytes.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from varve.llm.shared_files import AtomicFile, filesystem
 from varve.operators.staging import Workspace
 
 HEAD, HEAD_BYTES = "<IIq", 16
-NULL_ID = 1
+NULL_ID, WIDE_IDS = 1, 2
 #: CRC-32C polynomial in reflected form, and the constant added by masking.
 CASTAGNOLI, MASK_DELTA = 0x82F63B78, 0xA282EAD8
 #: Words whose ids a worker remembers in each of two generations.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 500_000
 SEGMENT_SCHEMA = "file string, part int, segment int, first long, records long, begin long, end long, ids_before long, ids long"
 DOCUMENT_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -94,6 +95,11 @@ class WordEncoder:
     tokenizer_file: str
     end_id: int = 1
 
+    @property
+    def width(self) -> int:
+        """Bytes of a stored id."""
+        return 2 if max(_tokenizer(self.tokenizer_file).get_vocab_size(), self.end_id) <= 1 << 16 else 4
+
     def batch(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode().split() for t in texts]  # at ASCII white space only
         generations = _remembered(self.tokenizer_file)
@@ -108,7 +114,7 @@ class WordEncoder:
                     else:
                         recent[word] = ids
         fresh = dict(zip(missing, self._encode_words(list(missing)), strict=True))
-        end = struct.pack("<I", self.end_id)
+        end = self.end_id.to_bytes(self.width, "little")
         known = recent | fresh if len(recent) < len(fresh) else recent
         if known is recent:
             recent.update(fresh)
@@ -122,16 +128,17 @@ class WordEncoder:
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
         """Words joined by spaces, in groups; token offsets tell which word a token belongs to."""
         tokenizer = _tokenizer(self.tokenizer_file)
+        width = self.width
         groups = [[w.decode() for w in words[i : i + 256]] for i in range(0, len(words), 256)]
         out: list[bytes] = []
         for group, found in zip(groups, tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ends = np.cumsum([len(w) + 1 for w in group])
             starts = np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(found.ids))
             cuts = np.searchsorted(starts, ends)
-            data = np.array(found.ids, dtype="<u4").tobytes()
+            data = np.array(found.ids, dtype=f"<u{width}").tobytes()
             at = 0
             for cut in cuts.tolist():
-                out.append(data[4 * at : 4 * cut])
+                out.append(data[width * at : width * cut])
                 at = cut
         return out
 
@@ -179,13 +186,14 @@ def write_records(
                 data, offsets = AtomicFile(f"{name}.records", attempt), AtomicFile(f"{name}.offsets", attempt)
             keys = batch.column(0).to_pylist()
             ids = encoder.batch(batch.column(1).to_pylist())
-            records = [struct.pack(HEAD, NULL_ID if k is None else 0, 0, k or 0) + i for k, i in zip(keys, ids, strict=True)]
+            records = [pack_record(k, i, encoder.width) for k, i in zip(keys, ids, strict=True)]
             lengths = [struct.pack("<Q", len(r)) for r in records]
-            for record, length, a, b in zip(records, lengths, masked_crc32c(lengths), masked_crc32c(records), strict=True):
+            for n, record, length, a, b in zip(
+                (len(i) // encoder.width for i in ids), records, lengths, masked_crc32c(lengths), masked_crc32c(records), strict=True
+            ):
                 offsets.write(struct.pack("<Q", data.size))
                 data.write(b"".join((length, struct.pack("<I", a), record, struct.pack("<I", b))))
                 done += 1
-                n = (len(record) - HEAD_BYTES) // 4
                 ids_before += n
                 seg["ids"] += n
                 if data.size - seg["begin"] >= segment_bytes:
@@ -225,6 +233,18 @@ def read_frames(uri: str, begin: int, end: int) -> list[bytes]:
     return records
 
 
+def pack_record(doc_id: int | None, ids: bytes, width: int) -> bytes:
+    flags = (NULL_ID if doc_id is None else 0) | (WIDE_IDS if width == 4 else 0)
+    return struct.pack(HEAD, flags, len(ids) // width, doc_id or 0) + ids + b"\0" * (-len(ids) % 4)
+
+
+def unpack_record(record: bytes) -> tuple[int | None, np.ndarray]:
+    """The document id and the ids as unsigned 32-bit integers."""
+    flags, count, key = struct.unpack_from(HEAD, record)
+    ids = np.frombuffer(record, dtype="<u4" if flags & WIDE_IDS else "<u2", offset=HEAD_BYTES, count=count)
+    return (None if flags & NULL_ID else key), ids.astype("<u4")
+
+
 def read_record(uri: str, number: int) -> tuple[int | None, np.ndarray]:
     """One record by its number in the file, through the offset index: (document id, ids)."""
     files, path = filesystem(f"{uri}.offsets")
@@ -234,8 +254,7 @@ def read_record(uri: str, number: int) -> tuple[int | None, np.ndarray]:
     with files.open_input_file(path) as file:
         size = int.from_bytes(file.read_at(8, begin), "little")
     (record,) = read_frames(uri, begin, begin + size + 16)
-    flags, _, key = struct.unpack_from(HEAD, record)
-    return (None if flags & NULL_ID else key), np.frombuffer(record, dtype="<u4", offset=HEAD_BYTES)
+    return unpack_record(record)
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
@@ -251,13 +270,12 @@ def read_documents(segments: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 keys, starts, counts, sums, start = [], [], [], [], row["start"]
                 for record in read_frames(row["file"], row["begin"], row["end"]):
-                    flags, _, key = struct.unpack_from(HEAD, record)
-                    ids = record[HEAD_BYTES :]
-                    keys.append(None if flags & NULL_ID else key)
+                    key, ids = unpack_record(record)
+                    keys.append(key)
                     starts.append(start)
-                    counts.append(len(ids) // 4)
-                    sums.append(zlib.crc32(ids))
-                    start += len(ids) // 4
+                    counts.append(len(ids))
+                    sums.append(zlib.crc32(ids.tobytes()))
+                    start += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in (keys, starts, counts, sums)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return work.repartition(F.xxhash64("file", "begin")).mapInArrow(read, DOCUMENT_SCHEMA)
