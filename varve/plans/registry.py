@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from varve.plans import relational  # noqa: F401
+from varve.plans.base import ORACLES, QUERIES
+from varve.sources.domain import Domain
+
+__all__ = ["ORACLES", "QUERIES", "entry"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return Domain(spark, sf_dir).meta
