@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 NO_RANK = 1 << 62
 #: Pieces whose ids a worker remembers in each of two generations; rare pieces are merged anew.
-CACHE_PIECES = 120_000
+CACHE_PIECES = 300_000
 #: Longer pieces are not remembered.
 CACHE_BYTES = 64
 
