@@ -96,3 +96,7 @@ def log_ratio(a: Column, b: Column) -> Column:
 def entropy(share: str) -> Column:
     """Shannon entropy of the positive shares of a group."""
     return -F.sum(F.when(F.col(share) > 0, F.col(share) * F.log(share)).otherwise(0.0))
+
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from varve.functions import columns as C
 from varve.operators import abundance
+from varve.functions.columns import n_rows
 from varve.plans.base import query
 from varve.sources.domain import Domain
 
 W = Window.partitionBy
-N = F.count(F.lit(1))
 
 
 @query("a01_record_totals", "SELECT taxon, label, n_reads, abundance, round(reference_length,4) AS reference_length, n_records FROM totals")
@@ -33,7 +33,7 @@ def prevalence(d: Domain):
 def core_summary(d: Domain):
     r = lambda c: F.round(c, 6)
     return d.meta.groupBy("core").agg(
-        N.alias("samples"), r(F.min("age_kyr")).alias("lo"), r(F.max("age_kyr")).alias("hi"), r(F.avg("age_kyr")).alias("mean_age"), r(F.stddev_samp("sst")).alias("sd_sst")
+        n_rows().alias("samples"), r(F.min("age_kyr")).alias("lo"), r(F.max("age_kyr")).alias("hi"), r(F.avg("age_kyr")).alias("mean_age"), r(F.stddev_samp("sst")).alias("sd_sst")
     )
 
 
@@ -77,7 +77,7 @@ def argmax(d: Domain):
 
 @query("a10_mode", "SELECT p_brand, p_type FROM (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) rn FROM (SELECT p_brand, p_type, count(*) n FROM part GROUP BY 1,2)) WHERE rn=1")
 def mode(d: Domain):
-    n = d.table("part").groupBy("p_brand", "p_type").agg(N.alias("n"))
+    n = d.table("part").groupBy("p_brand", "p_type").agg(n_rows().alias("n"))
     return n.withColumn("rn", F.row_number().over(W("p_brand").orderBy(F.desc("n"), "p_type"))).where("rn = 1").select("p_brand", "p_type")
 
 
@@ -86,7 +86,7 @@ def mode(d: Domain):
     "SELECT phylum, string_agg(functional_group||' ('||n||')','; ' ORDER BY n DESC, functional_group) AS top FROM (SELECT *, row_number() OVER (PARTITION BY phylum ORDER BY n DESC, functional_group) rn FROM (SELECT p_brand AS phylum, p_type AS functional_group, count(*) n FROM part GROUP BY 1,2)) WHERE rn<=3 GROUP BY phylum",
 )
 def frequency_text(d: Domain):
-    n = d.table("part").groupBy(F.col("p_brand").alias("phylum"), "p_type").agg(N.alias("n"))
+    n = d.table("part").groupBy(F.col("p_brand").alias("phylum"), "p_type").agg(n_rows().alias("n"))
     top = n.withColumn("rn", F.row_number().over(W("phylum").orderBy(F.desc("n"), "p_type"))).where("rn <= 3")
     cell = F.struct("rn", F.format_string("%s (%d)", "p_type", "n").alias("v"))
     return top.groupBy("phylum").agg(F.array_join(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["v"]), "; ").alias("top"))
@@ -123,7 +123,7 @@ def row_mean(d: Domain):
 
 @query("a17_confusion", "SELECT quality, toxic, n, round(n/sum(n) OVER (PARTITION BY quality),6) AS purity FROM (SELECT quality, toxic, count(*) n FROM labels GROUP BY ALL)")
 def confusion(d: Domain):
-    n = d.table("labels").groupBy("quality", "toxic").agg(N.alias("n"))
+    n = d.table("labels").groupBy("quality", "toxic").agg(n_rows().alias("n"))
     return n.withColumn("purity", F.round(F.col("n") / F.sum("n").over(W("quality")), 6))
 
 
@@ -156,7 +156,7 @@ def bin_difference(d: Domain):
 )
 def diversity(d: Domain):
     s = d.totals.select("label", (F.col("n_reads") / F.sum("n_reads").over(W("label"))).alias("p"))
-    g = s.groupBy("label").agg(C.entropy("p").alias("h"), N.alias("n"), (1 / F.sum(F.col("p") * F.col("p"))).alias("b"))
+    g = s.groupBy("label").agg(C.entropy("p").alias("h"), n_rows().alias("n"), (1 / F.sum(F.col("p") * F.col("p"))).alias("b"))
     return g.select("label", F.round("h", 6).alias("entropy"), F.round(F.try_divide("h", F.log("n")), 6).alias("evenness"), F.round("b", 6).alias("balance"))
 
 
@@ -166,7 +166,7 @@ def diversity(d: Domain):
 )
 def gini(d: Domain):
     r = d.totals.select("label", F.col("n_reads").alias("x"), F.row_number().over(W("label").orderBy("n_reads", "taxon")).alias("r"))
-    g = 2 * F.sum(F.col("r") * F.col("x")) / (N * F.sum("x")) - (N + 1.0) / N
+    g = 2 * F.sum(F.col("r") * F.col("x")) / (n_rows() * F.sum("x")) - (n_rows() + 1.0) / n_rows()
     return r.groupBy("label").agg(F.round(g, 6).alias("gini"))
 
 
@@ -190,7 +190,7 @@ def top_share(d: Domain):
     "SELECT core, b AS bin, round(n*tot*1.0/(ncore*nbin),6) AS ratio FROM (SELECT core, (floor(age_kyr/50)*50)::BIGINT b, count(*) n, sum(count(*)) OVER () tot, sum(count(*)) OVER (PARTITION BY core) ncore, sum(count(*)) OVER (PARTITION BY floor(age_kyr/50)*50) nbin FROM meta GROUP BY core, floor(age_kyr/50)*50)",
 )
 def enrichment(d: Domain):
-    n = d.meta.groupBy("core", (F.floor(F.col("age_kyr") / 50) * 50).alias("bin")).agg(N.alias("n"))
+    n = d.meta.groupBy("core", (F.floor(F.col("age_kyr") / 50) * 50).alias("bin")).agg(n_rows().alias("n"))
     total = n.agg(F.sum("n").alias("tot"))
     n = n.withColumns({"a": F.sum("n").over(W("core")), "b": F.sum("n").over(W("bin"))}).crossJoin(F.broadcast(total))
     return n.select("core", "bin", F.round(F.col("n") * F.col("tot") / (F.col("a") * F.col("b")), 6).alias("ratio"))
@@ -218,7 +218,7 @@ def variation(d: Domain):
 )
 def funnel(d: Domain):
     tests = {"young": F.col("age_kyr") <= 150, "warm": F.col("sst") >= 5, "known": F.col("core") != "MIDDLE EAST"}
-    one = d.samples.agg(N.alias("tot"), *[F.count_if(c).alias(k) for k, c in tests.items()])
+    one = d.samples.agg(n_rows().alias("tot"), *[F.count_if(c).alias(k) for k, c in tests.items()])
     return one.unpivot("tot", list(tests), "step", "n").select("step", "n", F.round(100.0 * F.col("n") / F.col("tot"), 4).alias("pct"))
 
 
@@ -273,7 +273,7 @@ def occupancy(d: Domain):
 )
 def composition(d: Domain):
     t = d.totals.join(d.taxa.where("functional_group <> 'SMALL'").select("taxon", "functional_group"), "taxon", "left")
-    return t.groupBy((F.col("label") % 3).alias("state"), F.coalesce("functional_group", F.lit("Unknown")).alias("functional_group")).agg(N.alias("n"))
+    return t.groupBy((F.col("label") % 3).alias("state"), F.coalesce("functional_group", F.lit("Unknown")).alias("functional_group")).agg(n_rows().alias("n"))
 
 
 @query("a33_many_to_one", "SELECT p_brand, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS types FROM part GROUP BY 1 HAVING count(DISTINCT p_type)>1")
@@ -288,7 +288,7 @@ def many_to_one(d: Domain):
 )
 def overlapping(d: Domain):
     tags = F.array(F.lit("all"), F.when(F.col("core") == "ASIA", "asia").otherwise("not_asia"))
-    return d.samples.select(F.explode(tags).alias("subset"), "sst").groupBy("subset").agg(N.alias("n"), F.round(F.avg("sst"), 6).alias("m"))
+    return d.samples.select(F.explode(tags).alias("subset"), "sst").groupBy("subset").agg(n_rows().alias("n"), F.round(F.avg("sst"), 6).alias("m"))
 
 
 @query("w01_top_per_group", "SELECT label, taxon, rn FROM (SELECT label, taxon, row_number() OVER (PARTITION BY label ORDER BY n_reads DESC, taxon)::INT rn FROM totals) WHERE rn<=5")
@@ -365,7 +365,7 @@ def cumulative(d: Domain):
 )
 def switches(d: Domain):
     e = d.table("events").select("user_id", "event_type", F.lag("event_type").over(W("user_id").orderBy("ts", "event_id")).alias("prev"))
-    g = e.groupBy("user_id").agg(F.count_if(F.col("event_type") != F.col("prev")).alias("switches"), N.alias("n"))
+    g = e.groupBy("user_id").agg(F.count_if(F.col("event_type") != F.col("prev")).alias("switches"), n_rows().alias("n"))
     return g.select("user_id", "switches", F.round(1 - F.try_divide(F.col("switches").cast("double"), F.col("n") - 1), 6).alias("self_rate"))
 
 
@@ -411,5 +411,5 @@ def ranking_change(d: Domain):
     "SELECT m.label, m.core, round(m.age_kyr,6) AS age_kyr, t.n AS taxa, t.reads FROM meta m LEFT JOIN (SELECT label, count(*) n, sum(n_reads) reads FROM totals GROUP BY 1) t USING(label)",
 )
 def timeline(d: Domain):
-    t = d.totals.groupBy("label").agg(N.alias("taxa"), F.sum("n_reads").alias("reads"))
+    t = d.totals.groupBy("label").agg(n_rows().alias("taxa"), F.sum("n_reads").alias("reads"))
     return d.meta.select("label", "core", F.round("age_kyr", 6).alias("age_kyr")).join(t, "label", "left")

@@ -12,11 +12,11 @@ from pyspark.sql import types as T
 
 from varve.functions import columns as C
 from varve.operators import graphs
+from varve.functions.columns import n_rows
 from varve.plans.base import query
 from varve.sources.domain import Domain
 
 W = Window.partitionBy
-N = F.count(F.lit(1))
 
 
 @query("t01_pearson", "SELECT core, round(corr(mis,sst),6) AS r FROM meta GROUP BY 1 HAVING count(*)>=3")
@@ -95,7 +95,7 @@ def interpolate(points: DataFrame, grid: DataFrame, by: str) -> DataFrame:
 
 @query("t06_variance_by_core", "SELECT round(1-sum(ss)/max(tss),6) AS r2 FROM (SELECT sum((mis-m)*(mis-m)) ss, max(t) tss FROM (SELECT mis, core, avg(mis) OVER (PARTITION BY core) m, var_pop(mis) OVER ()*count(*) OVER () t FROM meta) GROUP BY core)")
 def variance_by_core(d: Domain):
-    groups = d.meta.groupBy("core").agg(N.alias("n"), F.avg("mis").alias("m"), (F.var_pop("mis") * N).alias("ss"))
+    groups = d.meta.groupBy("core").agg(n_rows().alias("n"), F.avg("mis").alias("m"), (F.var_pop("mis") * n_rows()).alias("ss"))
     grand = F.sum(F.col("n") * F.col("m")) / F.sum("n")
     between = F.sum(F.col("n") * F.col("m") * F.col("m")) - grand * grand * F.sum("n")
     return groups.agg(F.round(1 - F.sum("ss") / (F.sum("ss") + between), 6).alias("r2"))
@@ -132,7 +132,7 @@ def gls(d: Domain):
 def benjamini_hochberg(df: DataFrame, p: str = "p") -> DataFrame:
     """Add ``q``; null p-values stay null and do not count."""
     tested = df.where(F.col(p).isNotNull())
-    n = tested.agg(N.alias("m_"))
+    n = tested.agg(n_rows().alias("m_"))
     up = Window.orderBy(p)
     ranked = tested.crossJoin(F.broadcast(n)).withColumn("raw_", F.col(p) * F.col("m_") / F.row_number().over(up))
     q = F.least(F.lit(1.0), F.min("raw_").over(Window.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)))
@@ -177,12 +177,12 @@ def fisher(d: Domain):
     (SELECT sum(c*c*c-c)::DOUBLE FROM (SELECT count(*) c FROM meta GROUP BY mis)) ties FROM meta) GROUP BY core) GROUP BY n""",
 )
 def kruskal(d: Domain):
-    by = d.meta.groupBy("mis").agg(N.alias("c"))
+    by = d.meta.groupBy("mis").agg(n_rows().alias("c"))
     below = F.coalesce(F.sum("c").over(Window.orderBy("mis").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = by.select("mis", (below + (F.col("c") + 1) / 2.0).alias("r"), "c")
     ties = by.agg(F.sum("c").cast("double").alias("n"), F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"))
-    g = d.meta.join(ranks, "mis").groupBy("core").agg((F.sum("r") * F.sum("r") / N).alias("s"))
-    x = g.agg(F.sum("s").alias("s"), (N - 1).alias("df")).crossJoin(ties)
+    g = d.meta.join(ranks, "mis").groupBy("core").agg((F.sum("r") * F.sum("r") / n_rows()).alias("s"))
+    x = g.agg(F.sum("s").alias("s"), (n_rows() - 1).alias("df")).crossJoin(ties)
     n = F.col("n")
     return x.select(F.round((12.0 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n)), 6).alias("h"), "df")
 
@@ -198,7 +198,7 @@ def residuals(d: Domain):
     "SELECT label, count(*) AS observed, round(count(*)+CASE WHEN f2>0 THEN f1*f1/(2.0*f2) ELSE f1*(f1-1)/2.0 END,6) AS chao1, round(1-f1*1.0/n,6) AS coverage FROM (SELECT label, taxon, count(*) FILTER (WHERE n_records=1) OVER (PARTITION BY label) f1, count(*) FILTER (WHERE n_records=2) OVER (PARTITION BY label) f2, sum(n_records) OVER (PARTITION BY label) n FROM totals) GROUP BY label,f1,f2,n",
 )
 def richness(d: Domain):
-    g = d.totals.groupBy("label").agg(N.alias("observed"), F.count_if(F.col("n_records") == 1).alias("f1"), F.count_if(F.col("n_records") == 2).alias("f2"), F.sum("n_records").alias("n"))
+    g = d.totals.groupBy("label").agg(n_rows().alias("observed"), F.count_if(F.col("n_records") == 1).alias("f1"), F.count_if(F.col("n_records") == 2).alias("f2"), F.sum("n_records").alias("n"))
     f1, f2 = F.col("f1"), F.col("f2")
     chao = F.col("observed") + F.when(f2 > 0, f1 * f1 / (2.0 * f2)).otherwise(f1 * (f1 - 1) / 2.0)
     return g.select("label", "observed", F.round(chao, 6).alias("chao1"), F.round(1 - f1 / F.col("n"), 6).alias("coverage"))
