@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import byte_bpe, compression_langid, decontaminate, line_dedup, near_dedup, pairwise_quality, quality_rules, token_records, url_filter, warc
+from varve.llm import byte_bpe, compression_langid, decontaminate, line_dedup, near_dedup, oracles, pairwise_quality, quality_rules, token_records, url_filter, warc
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -17,7 +17,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages")
-    edges = url_filter.page_edges(pages)
+    edges = url_filter.equivalence_edges(pages)
     return url_filter.judge_urls(pages.select("page_id", "url"), edges, URL_RULES).drop("url")
 
 
@@ -95,4 +95,4 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES

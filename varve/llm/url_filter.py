@@ -106,6 +106,29 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return edges.where("src is not null and dst is not null and src <> dst").distinct()
 
 
+def alias_edges(urls: DataFrame, url: str = "url") -> DataFrame:
+    """``(src, dst)`` from web addresses to the form their sites redirect to.
+
+    That form has the scheme https, no ``www.`` or ``m.`` in front of the host, no slash at the end
+    of the path and no ``utm_`` parameters. Null, other schemes and addresses in that form give no edge.
+    """
+    src = url_node(F.col(url))
+    host = F.regexp_replace(url_host(F.col(url)), r"^(www|m)\.", "")
+    path = F.regexp_replace(url_path(F.col(url)), "/$", "")
+    query = F.regexp_extract(_rest(F.col(url)), r"^[^?#]*\?([^#]*)", 1)
+    params = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.startswith("utm_")), "&")
+    target = F.concat(F.lit("https://"), host, F.when(path == "", "/").otherwise(path), F.when(params == "", "").otherwise(F.concat(F.lit("?"), params)))
+    edges = urls.select(src.alias("src"), target.alias("dst"))
+    return edges.where(F.regexp_like("src", F.lit("^https?://")) & (F.col("src") != F.col("dst"))).distinct()
+
+
+def equivalence_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """Links found in the pages, and the alias edges of their addresses and targets."""
+    linked = page_edges(pages, url, html)
+    known = pages.select(F.col(url).alias("url")).union(linked.select("dst"))
+    return linked.union(alias_edges(known))
+
+
 def judge_urls(
     urls: DataFrame,
     edges: DataFrame,
