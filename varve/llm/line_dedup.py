@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varve.llm.batches import slices
-from varve.llm.minhash import Banding, signatures, similar_components
+from varve.llm.minhash import Banding, flat_signatures, similar_components
 from varve.operators.staging import Workspace
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -37,15 +37,63 @@ class LineDedup(Banding):
     tile_shingles: int = 200_000
 
 
-def character_shingles(line: str, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-character shingles; a shorter line is one shingle."""
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    n = max(len(codes) - k + 1, 1)
-    h = np.zeros(n, dtype=np.uint64)
-    for j in range(min(k, len(codes))):
-        h = (h * _MIX) ^ (codes[j : n + j] + np.uint64(0x51ED27))
-    h = (h ^ (h >> np.uint64(32))) * _MIX
-    return np.unique(h ^ (h >> np.uint64(29)))
+def _rolling(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all windows of k codes; windows are put together from windows of powers of two."""
+    power = codes * _MIX
+    power ^= power >> np.uint64(31)
+    out, width, span = None, 0, 1
+    while True:
+        if k & span:
+            if out is None:
+                out, width = power, span
+            else:
+                n = len(codes) - width - span + 1
+                out = (out[:n] * _MIX) ^ power[width : width + n]
+                width += span
+        if width == k:
+            break
+        power = (power[: len(power) - span] * _MIX) ^ power[span:]
+        power ^= power >> np.uint64(29)
+        span *= 2
+    out = (out ^ (out >> np.uint64(32))) * _MIX
+    return out ^ (out >> np.uint64(29))
+
+
+def shingle_hashes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the k-character shingles of all lines one after another, repeats included, and their number per line.
+
+    A line of fewer characters is padded to one shingle, an empty line has none.
+    """
+    padded = [line if len(line) >= k or not line else line + "\0" * (k - len(line)) for line in lines]
+    lengths = np.fromiter(map(len, padded), dtype=np.int64, count=len(padded))
+    counts = np.maximum(lengths - k + 1, 0)
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    if not counts.any():
+        return np.zeros(0, dtype=np.uint64), counts
+    inside = np.ones(len(codes), dtype=bool)
+    for back in range(1, k):  # windows that start in the last k - 1 characters of a line leave it
+        inside[np.cumsum(lengths)[lengths >= k] - back] = False
+    return _rolling(codes, k)[inside[: len(codes) - k + 1]], counts
+
+
+def distinct_counts(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Distinct hashes per line, by one sort of line number and leading hash bits (at least 48 of them)."""
+    bits = np.uint64(max(len(counts) - 1, 1).bit_length())
+    owner = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+    keys = np.sort((owner << (np.uint64(64) - bits)) | (hashes >> bits))
+    fresh = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=bool)
+    return np.bincount(owner.astype(np.int64), weights=fresh, minlength=len(counts)).astype(np.int64)
+
+
+def shingle_sets(lines: list[str], k: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the k-character shingles of each line."""
+    hashes, counts = shingle_hashes(lines, k)
+    ends = np.cumsum(counts)
+    out = []
+    for begin, end in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+        one = np.sort(hashes[begin:end])
+        out.append(one[np.concatenate([[True], one[1:] != one[:-1]])] if len(one) else one)
+    return out
 
 
 def find_duplicates(docs: DataFrame, params: LineDedup = LineDedup(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -66,14 +114,15 @@ def find_duplicates(docs: DataFrame, params: LineDedup = LineDedup(), doc_id: st
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: set[int] = set()  # spares lines this task has just signed; the table is made distinct below
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, 1024):
             fresh = [(i, t) for i, t in dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)).items() if i not in recent]
             if len(recent) > 100_000:
                 recent.clear()
             recent.update(i for i, _ in fresh)
-            sets = [character_shingles(t, p.shingle) for _, t in fresh]
+            hashes, counts = shingle_hashes([t for _, t in fresh], p.shingle)
+            sig = flat_signatures(hashes, counts, p.hashes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in fresh], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in signatures(sets, p.hashes)], pa.binary())],
+                [pa.array([i for i, _ in fresh], pa.int64()), pa.array(distinct_counts(hashes, counts), pa.int64()), pa.array([r.tobytes() for r in sig], pa.binary())],
                 names=["id", "size", "sig"],
             )
 
@@ -86,7 +135,7 @@ def find_duplicates(docs: DataFrame, params: LineDedup = LineDedup(), doc_id: st
         texts = base.join(wanted, "doc").select(F.expr("explode(filter(transform(split(text, '\\n'), (line, i) -> struct(line, i)), x -> array_contains(numbers, x.i)))").alias("x"))
         return texts.select(F.xxhash64("x.line").alias("id"), F.encode("x.line", "utf-8").alias("payload")).join(candidates, "id", "left_semi").dropDuplicates(["id"])
 
-    linked = similar_components(ws, p, reps, payloads, lambda data: character_shingles(data.decode(), p.shingle))
+    linked = similar_components(ws, p, reps, payloads, lambda data: shingle_sets([d.decode() for d in data], p.shingle))
     # One row per distinct line that is repeated or linked, with the component it belongs to.
     heads = firsts.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     keep = heads.groupBy("component").agg(F.min(F.struct("doc", "line_no")).alias("keep"), F.sum("n").alias("total")).where("total > 1")

@@ -60,43 +60,52 @@ class Banding:
 
 
 def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
-    """16 bits of every MinHash, one row per set; empty sets give zeros."""
+    """16 bits of every MinHash, one row per set of 64-bit hashes; empty sets give zeros. Repeated members change nothing."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    return flat_signatures(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]), sizes, hashes)
+
+
+def flat_signatures(members: np.ndarray, sizes: np.ndarray, hashes: int) -> np.ndarray:
+    """:func:`signatures` of sets that lie one after another in ``members``."""
     rng = np.random.default_rng(20240229)
-    a = rng.integers(1, 2**63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    c = rng.integers(0, 2**63, hashes, dtype=np.uint64)
-    out = np.zeros((len(sets), hashes), dtype=np.uint16)
-    full = [i for i, s in enumerate(sets) if len(s)]
-    start = 0
-    while start < len(full):
-        stop, size = start, 0
-        while stop < len(full) and (size == 0 or size + len(sets[full[stop]]) <= 1 << 15):
-            size += len(sets[full[stop]])
-            stop += 1
-        group = [sets[i] for i in full[start:stop]]
-        joined = np.concatenate(group)
-        at = np.concatenate([[0], np.cumsum([len(s) for s in group])[:-1]])
-        work = np.empty_like(joined)
+    a = rng.integers(0, 2**31, hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    c = rng.integers(0, 2**32, hashes, dtype=np.uint32)
+    out = np.zeros((len(sizes), hashes), dtype=np.uint16)
+    full = np.flatnonzero(sizes)
+    ends = np.cumsum(sizes[full])
+    begins = ends - sizes[full]
+    folded = (members >> np.uint64(32)).astype(np.uint32)  # members are well mixed; 32 bits order them
+    first = 0
+    while first < len(full):
+        # As many sets at a time as stay in the processor's cache.
+        last = max(int(np.searchsorted(ends, begins[first] + (1 << 15), "right")), first + 1)
+        part = folded[begins[first] : ends[last - 1]]
+        at = begins[first:last] - begins[first]
+        work = np.empty_like(part)
         for k in range(hashes):
-            np.bitwise_xor(joined, c[k], out=work)
+            np.bitwise_xor(part, c[k], out=work)
             np.multiply(work, a[k], out=work)
-            out[full[start:stop], k] = np.minimum.reduceat(work, at) >> np.uint64(40) & np.uint64(0xFFFF)
-        start = stop
+            out[full[first:last], k] = np.minimum.reduceat(work, at) & np.uint32(0xFFFF)
+        first = last
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Runs of equal ``key`` in sorted input, also across batches."""
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The sorted input in tables that never cut a tile."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(key).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and held[-1].column(key)[0].as_py() != keys[a]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
+        tiles = batch.column("tile").to_numpy()
+        if held and held[-1].column("tile")[-1].as_py() != tiles[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        other = np.flatnonzero(tiles != tiles[-1])
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
     if held:
         yield pa.Table.from_batches(held)
 
@@ -105,31 +114,50 @@ def _binary_matrix(column: pa.ChunkedArray, dtype: str, width: int) -> np.ndarra
     return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(-1, width)
 
 
-def prune(p: Banding, least: list[int], ids, group, side, size, sig, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of row numbers of a tile that survive the sequential comparison of their signatures."""
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    found_x, found_y = [], []
-    for x in left:
-        y = right[(group[right] != group[x]) & (ids[right] != ids[x])]
-        y = y[(side[y] != 2) | (side[x] != 2) | (y > x)]
-        small, large = np.minimum(size[y], size[x]), np.maximum(size[y], size[x])
-        y = y[100 * small >= p.percent * large]
-        matches = np.zeros(len(y), dtype=np.int64)
-        for step, low in enumerate(least):
-            if not len(y):
-                break
-            cols = slice(step * p.batch, (step + 1) * p.batch)
-            matches += (sig[y, cols] == sig[x, cols]).sum(1)
-            go_on = matches >= low
-            y, matches = y[go_on], matches[go_on]
-        if len(y) and band >= 0:
-            # The pair belongs to the first band it shares; other bands leave it to that one.
-            same = (sig[y] == sig[x]).reshape(len(y), p.bands, p.rows).all(2)
-            y = y[same.argmax(1) == band]
-        found_x.append(np.full(len(y), x))
-        found_y.append(y)
-    empty = np.zeros(0, dtype=np.int64)
-    return np.concatenate([empty, *found_x]), np.concatenate([empty, *found_y])
+def tile_pairs(tile: np.ndarray, side: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs to compare, about ``most`` at a time: side 0 meets side 1, side 2 meets itself."""
+    starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+    lengths = np.diff(np.concatenate([starts, [len(tile)]]))
+
+    def oriented(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        meets = (side[x] == 2) | (side[x] != side[y])
+        x, y = x[meets], y[meets]
+        turned = side[x] == 1
+        return np.where(turned, y, x), np.where(turned, x, y)
+
+    for n in np.unique(lengths):
+        i, j = np.triu_indices(int(n), 1)
+        if not len(i):
+            continue
+        begins = starts[lengths == n]
+        if len(i) <= most:
+            step = max(most // len(i), 1)
+            for k in range(0, len(begins), step):
+                some = begins[k : k + step, None]
+                yield oriented((some + i).ravel(), (some + j).ravel())
+        else:
+            for begin in begins:
+                for k in range(0, len(i), most):
+                    yield oriented(begin + i[k : k + most], begin + j[k : k + most])
+
+
+def prune(p: Banding, least: list[int], x: np.ndarray, y: np.ndarray, ids, group, size, sig, band) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of row numbers that survive the sequential comparison of their signatures."""
+    small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+    keep = (group[x] != group[y]) & (ids[x] != ids[y]) & (100 * small >= p.percent * large)
+    x, y = x[keep], y[keep]
+    matches = np.zeros(len(x), dtype=np.int64)
+    for step, low in enumerate(least):
+        cols = slice(step * p.batch, (step + 1) * p.batch)
+        matches += (sig[x, cols] == sig[y, cols]).sum(1)
+        go_on = matches >= low
+        x, y, matches = x[go_on], y[go_on], matches[go_on]
+        if not len(x):
+            return x, y
+    # A pair belongs to the first band it shares; other bands leave it to that one.
+    same = (sig[x] == sig[y]).reshape(len(x), p.bands, p.rows).all(2)
+    mine = (band[x] < 0) | (same.argmax(1) == band[x])
+    return x[mine], y[mine]
 
 
 def similar_components(
@@ -137,13 +165,13 @@ def similar_components(
     p: Banding,
     reps: DataFrame,
     payloads_of: Callable[[DataFrame], DataFrame],
-    to_set: Callable[[bytes], np.ndarray],
+    to_sets: Callable[[list[bytes]], list[np.ndarray]],
 ) -> DataFrame:
     """``(node, component)`` of every item that is linked to another one.
 
     ``reps`` has unique ``id`` (long), ``size`` of the set and ``sig``. ``payloads_of`` gets a table
-    of candidate ids and returns ``(id, payload)``; ``to_set`` turns a payload into a sorted array
-    of distinct hashes.
+    of candidate ids and returns ``(id, payload)``; ``to_sets`` turns payloads into sorted arrays of
+    distinct hashes.
     """
     width = 2 * p.rows
     bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)).alias("key")) for b in range(p.bands)])
@@ -163,7 +191,7 @@ def similar_components(
     tiles = led.select("tile", "id", F.lit(1).alias("side"), F.lit(-1).alias("band"), F.col("id").alias("group")).union(
         led.select("tile", F.col("leader").alias("id"), F.lit(0).alias("side"), F.lit(-1).alias("band"), F.col("leader").alias("group")).distinct()
     )
-    first_links = ws.table(_link(ws, p, tiles, reps, payloads, to_set), "links")
+    first_links = ws.table(_link(ws, p, tiles, reps, payloads, to_sets), "links")
 
     # Round 2: what is still apart inside a bucket meets; the largest component stays on one side.
     groups = connected_components(first_links)
@@ -193,53 +221,55 @@ def similar_components(
     low, high = F.least("block", "other"), F.greatest("block", "other")
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") == low, 0).otherwise(1)
     tiles = tiled.select(F.xxhash64("key", low, high).alias("tile"), "id", side.alias("side"), "band", "group")
-    links = first_links.union(_link(ws, p, tiles, reps, payloads, to_set))
+    links = first_links.union(_link(ws, p, tiles, reps, payloads, to_sets))
     return ws.table(connected_components(ws.table(links, "all-links")), "components")
 
 
-def _link(ws: Workspace, p: Banding, tiles: DataFrame, reps: DataFrame, payloads: DataFrame, to_set: Callable) -> DataFrame:
+def _link(ws: Workspace, p: Banding, tiles: DataFrame, reps: DataFrame, payloads: DataFrame, to_sets: Callable) -> DataFrame:
     """Verified links ``(src, dst)`` among the rows of each tile: sequential pruning, then exact comparison."""
     least = p.least_matches()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, "tile"):
-            ids, group, side, size = (t.column(c).to_numpy() for c in ("id", "group", "side", "size"))
+        for t in _whole_tiles(batches):
+            tile, ids, group, side, size, band = (t.column(c).to_numpy() for c in ("tile", "id", "group", "side", "size", "band"))
             sig = _binary_matrix(t.column("sig"), "<u2", p.hashes)
-            xs, ys = prune(p, least, ids, group, side, size, sig, t.column("band")[0].as_py())
+            kept = [prune(p, least, x, y, ids, group, size, sig, band) for x, y in tile_pairs(tile, side)]
+            xs, ys = (np.concatenate([np.zeros(0, dtype=np.int64), *part]) for part in zip(*kept)) if kept else (np.zeros(0, dtype=np.int64),) * 2
             if len(xs):
-                partners = {int(x): ys[part] for x, part in zip(*_runs(xs), strict=True)}
+                order = np.argsort(xs, kind="stable")
+                xs, ys = xs[order], ys[order]
                 involved = np.union1d(xs, ys)
-                tile = t.column("tile")[0].as_py()
+                counts = np.bincount(np.searchsorted(involved, xs), minlength=len(involved))
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                partners = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[ys], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([tile] * len(involved), pa.int64()),
-                        pa.array(ids[involved], pa.int64()),
-                        pa.array([ids[partners[int(i)]] if int(i) in partners else [] for i in involved], pa.list_(pa.int64())),
-                    ],
-                    names=["tile", "id", "partners"],
+                    [pa.array(tile[involved], pa.int64()), pa.array(ids[involved], pa.int64()), partners], names=["tile", "id", "partners"]
                 )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, "tile"):
-            ids = t.column("id").to_pylist()
-            sets = {i: to_set(data) for i, data in zip(ids, t.column("payload").to_pylist(), strict=True)}
-            src, dst = [], []
-            for a, partners in zip(ids, t.column("partners").to_pylist(), strict=True):
-                for b in partners:
-                    x, y = sets[a], sets[b]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= p.percent * (len(x) + len(y) - both):
-                        src.append(a)
-                        dst.append(b)
+        for t in _whole_tiles(batches):
+            tile = t.column("tile").to_numpy()
+            cuts = [*np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])).tolist(), len(tile)]
+            src, dst, first = [], [], 0
+            while first < len(cuts) - 1:
+                # Whole tiles of some hundred rows at a time, so that few sets are alive.
+                last = first + 1
+                while last < len(cuts) - 1 and cuts[last + 1] - cuts[first] <= 512:
+                    last += 1
+                part = t.slice(cuts[first], cuts[last] - cuts[first])
+                ids = part.column("id").to_pylist()
+                sets = dict(zip(ids, to_sets(part.column("payload").to_pylist()), strict=True))
+                for a, partners in zip(ids, part.column("partners").to_pylist(), strict=True):
+                    for b in partners:
+                        x, y = sets[a], sets[b]
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        if 100 * both >= p.percent * (len(x) + len(y) - both):
+                            src.append(a)
+                            dst.append(b)
+                first = last
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
     rows = tiles.join(reps, "id").select("tile", "id", "side", "band", "group", "size", "sig")
     survivors = ws.table(rows.repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(compare, "tile long, id long, partners array<long>"), "survivors")
     rows = survivors.join(payloads, "id").select("tile", "id", "partners", "payload")
     return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(verify, "src long, dst long")
-
-
-def _runs(values: np.ndarray) -> tuple[np.ndarray, list[slice]]:
-    """The distinct values of a sorted array and the slice of each."""
-    cuts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-    return values[cuts], [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(values)])]

@@ -86,7 +86,7 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup(), doc_id: st
             data = [shingle_set(words(t), p.shingle).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["id", "payload"])
 
-    components = similar_components(ws, p, reps, payloads, lambda data: np.frombuffer(data, dtype=np.uint64))
+    components = similar_components(ws, p, reps, payloads, lambda data: [np.frombuffer(d, dtype=np.uint64) for d in data])
     known = members.join(components.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = signed.select("id", "size").join(known, "id", "left")
