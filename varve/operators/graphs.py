@@ -116,7 +116,8 @@ def spectral_signatures(edges: DataFrame, vertices: DataFrame, k: int = 30) -> D
         values = np.quantile(np.linalg.eigvalsh(laplacian), np.linspace(0, 1, k)) if len(place) else np.zeros(k)
         return pd.DataFrame({"core": [key[0]], "signature": [np.maximum(values, 0).tolist()]})
 
-    groups = vertices.select("core", "taxon").groupBy("core").cogroup(edges.select("core", "src", "dst", "weight").groupBy("core"))
+    # Both sides may stem from one table, so the key of one side gets a name of its own.
+    groups = vertices.select(F.col("core").alias("vertex_core"), "taxon").groupBy("vertex_core").cogroup(edges.select("core", "src", "dst", "weight").groupBy("core"))
     return groups.applyInPandas(signature, "core string, signature array<double>")
 
 

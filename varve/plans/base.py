@@ -38,9 +38,10 @@ VIEWS = {
 
 def with_views(sql: str) -> str:
     """``sql`` below the views."""
-    head, _, tail = sql.partition("WITH ") if sql.lstrip().startswith("WITH ") else ("", "", sql)
-    own = f", {tail}" if sql.lstrip().startswith("WITH ") else f" {tail}"
-    return "WITH " + ", ".join(f"{name} AS ({body})" for name, body in VIEWS.items()) + own
+    body = sql.strip()
+    # A query may go on with views of its own after a comma, or begin them with WITH.
+    own = f" {body}" if body.startswith(",") else f", {body[5:]}" if body.startswith("WITH ") else f" {body}"
+    return "WITH RECURSIVE " + ", ".join(f"{name} AS ({body})" for name, body in VIEWS.items()) + own
 
 
 def query(name: str, sql: str | None = None):
