@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that equal or resemble an earlier line; documents left without a word go, n_chars follows the text."""
     has_words = F.coalesce(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "", F.lit(False))
-    cleaned = line_dedup.drop_lines(docs.withColumn("had_words_", has_words), line_dedup.find_duplicates(docs))
+    cleaned = line_dedup.drop_lines(docs.withColumn("had_words_", has_words), line_dedup.find_duplicates(docs, line_dedup.WHOLE))
     return cleaned.where(has_words | ~F.col("had_words_")).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

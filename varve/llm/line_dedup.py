@@ -26,7 +26,9 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class LineDedup(Banding):
     """10 bands of 3 hashes miss a pair at exactly 80 % similarity with probability 8e-4, at 90 % with 2e-6.
 
-    ``shingle`` is in characters; lines shorter than ``min_chars`` are always kept.
+    ``shingle`` is in characters; lines shorter than ``min_chars`` are compared with no other line.
+    With ``exact_all`` equal lines are linked at any length, if they hold more than white space;
+    without it lines shorter than ``min_chars`` are always kept.
     """
 
     bands: int = 10
@@ -35,6 +37,11 @@ class LineDedup(Banding):
     shingle: int = 9
     min_chars: int = 25
     tile_shingles: int = 200_000
+    exact_all: bool = False
+
+
+#: What the query and the pipeline use.
+WHOLE = LineDedup(exact_all=True)
 
 
 def _rolling(codes: np.ndarray, k: int) -> np.ndarray:
@@ -100,14 +107,17 @@ def find_duplicates(docs: DataFrame, params: LineDedup = LineDedup(), doc_id: st
     """``(doc_id, line_no)`` of every line to drop; the smallest (doc_id, line_no) of each component is not among them.
 
     Lines are what ``\\n`` separates, numbered from 0. Lines of at least ``min_chars`` characters
-    are linked when equal or when their character shingles reach the threshold. Null texts have no
+    are linked when equal or when their character shingles reach the threshold, other lines that are
+    not blank when equal and ``exact_all`` is set. Null texts have no
     lines. Rows with a null id take part with no lines. Rows with the same id share their numbers:
     a line is then dropped where its number and content were marked, in each of those rows alike.
     """
     p = params
     ws = Workspace(docs.sparkSession, "lines")
     base = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    lines = base.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.char_length("line") >= p.min_chars)
+    lines = base.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    long = F.char_length("line") >= p.min_chars
+    lines = lines.where(F.col("line").rlike(r"\S") if p.exact_all else long)
     places = lines.select(F.xxhash64("line").alias("id"), "doc", "line_no")
     firsts = places.groupBy("id").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = ws.table(firsts.select("id", "first.*", "n"), "firsts")
@@ -126,7 +136,7 @@ def find_duplicates(docs: DataFrame, params: LineDedup = LineDedup(), doc_id: st
                 names=["id", "size", "sig"],
             )
 
-    signed = lines.select(F.xxhash64("line").alias("id"), "line").mapInArrow(sign, "id long, size long, sig binary")
+    signed = lines.where(long).select(F.xxhash64("line").alias("id"), "line").mapInArrow(sign, "id long, size long, sig binary")
     reps = ws.table(signed.dropDuplicates(["id"]), "signatures")
 
     def payloads(candidates: DataFrame) -> DataFrame:
