@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.llm.batches import slices
@@ -28,7 +28,9 @@ class LineDedup(Banding):
 
     ``shingle`` is in characters; lines shorter than ``min_chars`` are compared with no other line.
     With ``exact_all`` equal lines are linked at any length, if they hold more than white space;
-    without it lines shorter than ``min_chars`` are always kept.
+    without it lines shorter than ``min_chars`` are always kept. ``steps`` give lines of different
+    lengths different shingles, each step as (shingle, fewest, most characters of a line); two lines
+    are compared in every step that holds both. Without steps all lines have the same shingle.
     """
 
     bands: int = 10
@@ -38,10 +40,18 @@ class LineDedup(Banding):
     min_chars: int = 25
     tile_shingles: int = 200_000
     exact_all: bool = False
+    steps: tuple[tuple[int, int, int], ...] = ()
 
+    @property
+    def ladder(self) -> tuple[tuple[int, int, int], ...]:
+        return self.steps or ((self.shingle, self.min_chars, 2**31 - 1),)
 
-#: What the query and the pipeline use.
-WHOLE = LineDedup(exact_all=True)
+
+#: What the query and the pipeline use. A changed character inside a line alters as many shingles as
+#: they have characters, so 3 reach 80 % from 29 characters on, 5 from 49 and 9 from 89; a changed word
+#: of six letters reaches it under 9 from 134. Lines of two steps whose lengths are too far apart to
+#: share one are below 80 % unless shingles repeat.
+WHOLE = LineDedup(exact_all=True, steps=((3, 25, 64), (5, 49, 180), (9, 140, 2**31 - 1)))
 
 
 def _rolling(codes: np.ndarray, k: int) -> np.ndarray:
@@ -116,8 +126,13 @@ def find_duplicates(docs: DataFrame, params: LineDedup = LineDedup(), doc_id: st
     ws = Workspace(docs.sparkSession, "lines")
     base = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     lines = base.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    long = F.char_length("line") >= p.min_chars
-    lines = lines.where(F.col("line").rlike(r"\S") if p.exact_all else long)
+    lines = lines.where(F.col("line").rlike(r"\S") if p.exact_all else F.char_length("line") >= p.min_chars)
+
+    def shingles_of(line: str) -> Column:
+        """The shingle lengths by which a line is compared."""
+        n = F.char_length(line)
+        return F.array_compact(F.array(*[F.when(n.between(least, most), F.lit(k)) for k, least, most in p.ladder]))
+
     places = lines.select(F.xxhash64("line").alias("id"), "doc", "line_no")
     firsts = places.groupBy("id").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = ws.table(firsts.select("id", "first.*", "n"), "firsts")
@@ -125,29 +140,52 @@ def find_duplicates(docs: DataFrame, params: LineDedup = LineDedup(), doc_id: st
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: set[int] = set()  # spares lines this task has just signed; the table is made distinct below
         for batch in slices(batches, 1024):
-            fresh = [(i, t) for i, t in dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)).items() if i not in recent]
+            rows = {r[0]: r for r in zip(*(c.to_pylist() for c in batch.columns), strict=True) if r[0] not in recent}
             if len(recent) > 100_000:
                 recent.clear()
-            recent.update(i for i, _ in fresh)
-            hashes, counts = shingle_hashes([t for _, t in fresh], p.shingle)
-            sig = flat_signatures(hashes, counts, p.hashes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in fresh], pa.int64()), pa.array(distinct_counts(hashes, counts), pa.int64()), pa.array([r.tobytes() for r in sig], pa.binary())],
-                names=["id", "size", "sig"],
-            )
-
-    signed = lines.where(long).select(F.xxhash64("line").alias("id"), "line").mapInArrow(sign, "id long, size long, sig binary")
+            recent.update(rows)
+            for k, _, _ in p.ladder:
+                fresh = [r for r in rows.values() if r[3] == k]
+                hashes, counts = shingle_hashes([r[4] for r in fresh], k)
+                sig = flat_signatures(hashes, counts, p.hashes)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[pa.array([r[i] for r in fresh], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))],
+                        pa.array(distinct_counts(hashes, counts), pa.int64()),
+                        pa.array([r.tobytes() for r in sig], pa.binary()),
+                    ],
+                    names=["id", "line_id", "shared", "size", "sig"],
+                )
+
+    # A node is a line under one shingle length; the nodes of a line in two steps are tied below.
+    ks = lines.select("line", shingles_of("line").alias("ks"))
+    ks = ks.select("line", (F.size("ks") > 1).alias("shared"), F.explode("ks").alias("k"))
+    ks = ks.select(F.xxhash64("line", "k").alias("id"), F.xxhash64("line").alias("line_id"), "shared", "k", "line")
+    signed = ks.mapInArrow(sign, "id long, line_id long, shared boolean, size long, sig binary")
     reps = ws.table(signed.dropDuplicates(["id"]), "signatures")
 
     def payloads(candidates: DataFrame) -> DataFrame:
         # The first place of each candidate names the texts to read; all other texts stay where they are.
-        wanted = candidates.join(firsts, "id").groupBy("doc").agg(F.collect_set("line_no").alias("numbers"))
+        named = candidates.join(reps.select("id", "line_id"), "id").select(F.col("line_id").alias("id")).distinct()
+        wanted = named.join(firsts, "id").groupBy("doc").agg(F.collect_set("line_no").alias("numbers"))
         texts = base.join(wanted, "doc").select(F.expr("explode(filter(transform(split(text, '\\n'), (line, i) -> struct(line, i)), x -> array_contains(numbers, x.i)))").alias("x"))
-        return texts.select(F.xxhash64("x.line").alias("id"), F.encode("x.line", "utf-8").alias("payload")).join(candidates, "id", "left_semi").dropDuplicates(["id"])
-
-    linked = similar_components(ws, p, reps, payloads, lambda data: shingle_sets([d.decode() for d in data], p.shingle))
+        texts = texts.select("x.line").select("line", F.explode(shingles_of("line")).alias("k"))
+        payload = F.encode(F.concat(F.chr(F.col("k").cast("long")), "line"), "utf-8").alias("payload")
+        return texts.select(F.xxhash64("line", "k").alias("id"), payload).join(candidates, "id", "left_semi").dropDuplicates(["id"])
+
+    def to_sets(data: list[bytes]) -> list[np.ndarray]:
+        out: dict[int, np.ndarray] = {}
+        for k, _, _ in p.ladder:
+            some = [i for i, d in enumerate(data) if d[0] == k]
+            out |= zip(some, shingle_sets([data[i][1:].decode() for i in some], k), strict=True)
+        return [out[i] for i in range(len(data))]
+
+    nodes = reps.where("shared").groupBy("line_id").agg(F.array_sort(F.collect_set("id")).alias("ids")).where("size(ids) > 1")
+    same = nodes.select(F.col("ids")[0].alias("src"), F.explode(F.slice("ids", F.lit(2), F.size("ids"))).alias("dst"))
+    linked = similar_components(ws, p, reps, payloads, to_sets, same)
+    linked = linked.withColumnRenamed("node", "id").join(reps.select("id", "line_id"), "id").groupBy("line_id").agg(F.min("component").alias("component"))
     # One row per distinct line that is repeated or linked, with the component it belongs to.
-    heads = firsts.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    heads = firsts.join(linked.withColumnRenamed("line_id", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     keep = heads.groupBy("component").agg(F.min(F.struct("doc", "line_no")).alias("keep"), F.sum("n").alias("total")).where("total > 1")
     keep = ws.table(heads.join(keep, "component").select("id", F.col("keep.doc").alias("keep_doc"), F.col("keep.line_no").alias("keep_no")), "keep")
     dropped = places.join(keep, "id").where("doc <> keep_doc or line_no <> keep_no")

@@ -166,12 +166,13 @@ def similar_components(
     reps: DataFrame,
     payloads_of: Callable[[DataFrame], DataFrame],
     to_sets: Callable[[list[bytes]], list[np.ndarray]],
+    same: DataFrame | None = None,
 ) -> DataFrame:
     """``(node, component)`` of every item that is linked to another one.
 
     ``reps`` has unique ``id`` (long), ``size`` of the set and ``sig``. ``payloads_of`` gets a table
     of candidate ids and returns ``(id, payload)``; ``to_sets`` turns payloads into sorted arrays of
-    distinct hashes.
+    distinct hashes. ``same`` has pairs ``(src, dst)`` of ids that belong together wherever both are linked.
     """
     width = 2 * p.rows
     bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)).alias("key")) for b in range(p.bands)])
@@ -222,7 +223,12 @@ def similar_components(
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") == low, 0).otherwise(1)
     tiles = tiled.select(F.xxhash64("key", low, high).alias("tile"), "id", side.alias("side"), "band", "group")
     links = first_links.union(_link(ws, p, tiles, reps, payloads, to_sets))
-    return ws.table(connected_components(ws.table(links, "all-links")), "components")
+    links = ws.table(links, "all-links")
+    if same is not None:
+        nodes = links.select("src").union(links.select("dst")).distinct()
+        tied = same.join(nodes, "src", "left_semi").join(nodes.withColumnRenamed("src", "dst"), "dst", "left_semi")
+        links = ws.table(links.union(tied.select("src", "dst")), "tied-links")
+    return ws.table(connected_components(links), "components")
 
 
 def _link(ws: Workspace, p: Banding, tiles: DataFrame, reps: DataFrame, payloads: DataFrame, to_sets: Callable) -> DataFrame:
