@@ -125,8 +125,11 @@ def _slots(kinds: np.ndarray, at: np.ndarray, core: list[str], start: int, width
     return [core[at[i]] for i in range(start, start + width) if kinds[i] != LITERAL]
 
 
-def benchmark_windows(items: DataFrame, p: Templates, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """``(hash, item, item_at, width, item_tokens, item_slots)``; of items with the same template the smallest id stands for all."""
+def benchmark_windows(items: DataFrame, p: Templates, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(hash, item, item_at, width, item_tokens, item_slots)`` and the ``(item, member)`` it stands for.
+
+    Of items whose templates are equal and whose slots repeat at the same places the smallest id stands for all.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
@@ -136,7 +139,9 @@ def benchmark_windows(items: DataFrame, p: Templates, item_id: str = "item_id",
             for item, (hashes, kinds, at) in zip(batch.column(0).to_pylist(), found, strict=True):
                 if len(hashes):
                     width = min(p.window, len(hashes))
-                    template = xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+                    first: dict[str, int] = {}
+                    pattern = [first.setdefault(v, i) for i, v in enumerate(_slots(kinds, at, vocabulary.core, 0, len(hashes)))]
+                    template = xxhash.xxh3_64_intdigest(hashes.tobytes() + np.array(pattern, dtype=np.int64).tobytes()) - (1 << 63)
                     for start, h in zip(*windows(hashes, kinds, width, p.least_literals), strict=True):
                         rows.append((int(h.view(np.int64)), item, int(start), width, len(hashes), _slots(kinds, at, vocabulary.core, start, width), template))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds_)], names=names)
@@ -146,7 +151,8 @@ def benchmark_windows(items: DataFrame, p: Templates, item_id: str = "item_id",
     schema = "hash long, item long, item_at int, width int, item_tokens int, item_slots array<string>, template long"
     rows = items.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("text")).where("item is not null").mapInArrow(cut, schema)
     firsts = rows.groupBy("template").agg(F.min("item").alias("item"))
-    return rows.join(firsts, ["template", "item"], "left_semi").drop("template").dropDuplicates(["item", "item_at"])
+    members = rows.select("template", F.col("item").alias("member")).distinct().join(firsts, "template").select("item", "member").distinct()
+    return rows.join(firsts, ["template", "item"], "left_semi").drop("template").dropDuplicates(["item", "item_at"]), members
 
 
 def contamination(
@@ -156,13 +162,14 @@ def contamination(
 
     ``covered`` counts the item's tokens under windows of consistent alignments. Null texts and
     texts without words match nothing; rows with the same id count as one document, and so do rows
-    with a null id. A text that repeats an item gives one row. Items with the same template are
-    reported under their smallest id.
+    with a null id. A text that repeats an item gives one row. Every item of a family with the same
+    template and the same repeats of slots is reported.
     """
     p = params
     spark = docs.sparkSession
     ws = Workspace(spark, "leaks")
-    bench = ws.table(benchmark_windows(items, p, item_id, item_text), "benchmark")
+    bench, members = benchmark_windows(items, p, item_id, item_text)
+    bench, members = ws.table(bench, "benchmark"), ws.table(members, "members")
     widths = [r[0] for r in bench.select("width").distinct().collect()]  # at most ``window`` different numbers
     known = None
     if bench.count() <= p.max_filter_windows:
@@ -207,7 +214,8 @@ def contamination(
     )
     one_to_one = F.size(F.array_distinct(F.transform("pairs", lambda x: x["item_slots"]))) == F.size("pairs")
     tokens = F.transform("places", lambda w: F.sequence(w["item_at"], w["item_at"] + w["width"] - 1))
-    aligned = aligned.where(one_to_one).select("doc", "item", "item_tokens", F.explode(F.array_distinct(F.flatten(tokens))).alias("token"))
+    aligned = aligned.where(one_to_one).select("doc", "item", "item_tokens", F.array_distinct(F.flatten(tokens)).alias("tokens"))
+    aligned = aligned.join(members, "item").select("doc", F.col("member").alias("item"), "item_tokens", F.explode("tokens").alias("token"))
     covered = aligned.groupBy("doc", "item").agg(F.max("item_tokens").alias("item_tokens"), F.countDistinct("token").alias("covered"))
     covered = covered.where(F.col("covered") >= F.least(F.lit(p.least_covered), F.col("item_tokens")))
     return covered.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "covered", F.col("item_tokens").cast("long").alias("item_tokens"))
