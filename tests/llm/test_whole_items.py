@@ -18,3 +18,10 @@ def test_items_of_one_template_are_all_reported(spark):
     items = [(1, text.format(3, 3)), (2, text.format(3, 5)), (3, text.format(8, 6))]
     docs = [(1, "It said: " + text.format(4, 9)), (2, text.format(7, 7)), (3, "nothing of this kind is asked here")]
     assert _found(spark, items, docs) == {(1, 2), (1, 3), (2, 1), (2, 2), (2, 3)}
+
+
+def test_one_differing_slot_does_not_hide_a_copy(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(60)]
+    words[3] = words[20] = words[50] = "12"
+    copy = [*words[:50], "13", *words[51:]]
+    assert _found(spark, [(1, " ".join(words))], [(1, " ".join(copy))]) == {(1, 1)}

@@ -3,7 +3,8 @@
 Words become template tokens: numbers, names and units turn into typed placeholders, all else is
 lower-cased. Windows of template tokens of documents and benchmark items meet in a hash join, so a
 question with other numbers or names still matches. A match counts only where the slots agree: one
-benchmark value stands for one document value throughout an alignment.
+benchmark value stands for one document value throughout an alignment. Windows of the item's own
+words always count.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varve.llm.batches import slices
+from varve.llm.line_dedup import _rolling
 from varve.operators.staging import Workspace
 
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
@@ -51,6 +54,15 @@ class Templates:
     max_filter_windows: int = 1_000_000
 
 
+class Tokens(NamedTuple):
+    """Of each token of a text: template hash, kind, place in the vocabulary, hash of the lower-cased word."""
+
+    hashes: np.ndarray
+    kinds: np.ndarray
+    at: np.ndarray
+    words: np.ndarray
+
+
 class Vocabulary:
     """Attributes of the words a worker has met: literal hash, kind, capital, sentence end. Emptied when large."""
 
@@ -83,8 +95,7 @@ class Vocabulary:
         self.core.append(low)
         self.place[word] = n
 
-    def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, list[str]]]:
-        """Per text: hash and kind of each template token, and the words behind them."""
+    def tokens(self, texts: list[str | None]) -> list[Tokens]:
         if len(self.place) > self.limit:
             self.clear()
         split = [(t or "").split() for t in texts]
@@ -103,7 +114,7 @@ class Vocabulary:
                 after_number = np.concatenate([[False], k[:-1] == NUMBER])
                 k[(k == UNIT) & ~after_number] = LITERAL
                 k[capital[at] & ~begins & (k == LITERAL)] = NAME
-            out.append((np.where(k == LITERAL, literal[at], _PLACEHOLDERS[k]), k, at))
+            out.append(Tokens(np.where(k == LITERAL, literal[at], _PLACEHOLDERS[k]), k, at, literal[at]))
         return out
 
 
@@ -121,14 +132,22 @@ def windows(hashes: np.ndarray, kinds: np.ndarray, width: int, least_literals: i
     return np.flatnonzero(enough), h[enough]
 
 
+def word_windows(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every window of lower-cased words, whatever their kinds."""
+    if len(words) < width:
+        return np.zeros(0, dtype=np.uint64)
+    return _rolling(words, width) ^ np.uint64(width)
+
+
 def _slots(kinds: np.ndarray, at: np.ndarray, core: list[str], start: int, width: int) -> list[str]:
     return [core[at[i]] for i in range(start, start + width) if kinds[i] != LITERAL]
 
 
 def benchmark_windows(items: DataFrame, p: Templates, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(hash, item, item_at, width, item_tokens, item_slots)`` and the ``(item, member)`` it stands for.
+    """``(hash, item, item_at, width, item_tokens, item_slots, exact)`` and the ``(item, exact, member)`` it stands for.
 
     Of items whose templates are equal and whose slots repeat at the same places the smallest id stands for all.
+    Exact windows are those of words; every item has its own.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,23 +155,28 @@ def benchmark_windows(items: DataFrame, p: Templates, item_id: str = "item_id",
         for batch in slices(batches, 256):
             rows = []
             found = vocabulary.tokens(batch.column(1).to_pylist())
-            for item, (hashes, kinds, at) in zip(batch.column(0).to_pylist(), found, strict=True):
+            for item, (hashes, kinds, at, words) in zip(batch.column(0).to_pylist(), found, strict=True):
                 if len(hashes):
                     width = min(p.window, len(hashes))
                     first: dict[str, int] = {}
                     pattern = [first.setdefault(v, i) for i, v in enumerate(_slots(kinds, at, vocabulary.core, 0, len(hashes)))]
                     template = xxhash.xxh3_64_intdigest(hashes.tobytes() + np.array(pattern, dtype=np.int64).tobytes()) - (1 << 63)
                     for start, h in zip(*windows(hashes, kinds, width, p.least_literals), strict=True):
-                        rows.append((int(h.view(np.int64)), item, int(start), width, len(hashes), _slots(kinds, at, vocabulary.core, start, width), template))
+                        rows.append((int(h.view(np.int64)), item, int(start), width, len(hashes), _slots(kinds, at, vocabulary.core, start, width), False, template))
+                    for start, h in enumerate(word_windows(words, width)):
+                        rows.append((int(h.view(np.int64)), item, start, width, len(hashes), [], True, template))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds_)], names=names)
 
-    names = ["hash", "item", "item_at", "width", "item_tokens", "item_slots", "template"]
-    kinds_ = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int64()]
-    schema = "hash long, item long, item_at int, width int, item_tokens int, item_slots array<string>, template long"
+    names = ["hash", "item", "item_at", "width", "item_tokens", "item_slots", "exact", "template"]
+    kinds_ = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.bool_(), pa.int64()]
+    schema = "hash long, item long, item_at int, width int, item_tokens int, item_slots array<string>, exact boolean, template long"
     rows = items.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("text")).where("item is not null").mapInArrow(cut, schema)
     firsts = rows.groupBy("template").agg(F.min("item").alias("item"))
-    members = rows.select("template", F.col("item").alias("member")).distinct().join(firsts, "template").select("item", "member").distinct()
-    return rows.join(firsts, ["template", "item"], "left_semi").drop("template").dropDuplicates(["item", "item_at"]), members
+    every = rows.select("template", F.col("item").alias("member")).distinct()
+    members = every.join(firsts, "template").select("item", F.lit(False).alias("exact"), "member")
+    members = members.union(every.select(F.col("member").alias("item"), F.lit(True), "member")).distinct()
+    kept = rows.where("not exact").join(firsts, ["template", "item"], "left_semi").select(*rows.columns).union(rows.where("exact"))
+    return kept.drop("template").dropDuplicates(["item", "item_at", "hash"]), members
 
 
 def contamination(
@@ -160,7 +184,8 @@ def contamination(
 ) -> DataFrame:
     """``(doc_id, item_id, covered, item_tokens)``: pairs of a document and a benchmark item it contains.
 
-    ``covered`` counts the item's tokens under windows of consistent alignments. Null texts and
+    ``covered`` counts the item's tokens under windows of consistent alignments and under windows of
+    its own words, which count even where the rest of the alignment disagrees. Null texts and
     texts without words match nothing; rows with the same id count as one document, and so do rows
     with a null id. A text that repeats an item gives one row. Every item of a family with the same
     template and the same repeats of slots is reported.
@@ -182,22 +207,30 @@ def contamination(
             # A bitmap of 20 bits of the hash settles nearly all windows without a search.
             bitmap = np.zeros(1 << 20, dtype=bool)
             bitmap[wanted.view(np.uint64) >> np.uint64(44)] = True
+
+        def known_only(h: np.ndarray) -> np.ndarray:
+            if wanted is None or not len(h):
+                return np.arange(len(h))
+            hit = np.flatnonzero(bitmap[h >> np.uint64(44)])
+            value = h[hit].view(np.int64)
+            return hit[wanted[np.minimum(np.searchsorted(wanted, value), len(wanted) - 1)] == value]
+
         for batch in slices(batches):
             out: tuple[list, ...] = ([], [], [], [])
             found = vocabulary.tokens(batch.column(1).to_pylist())
-            for doc, (hashes, kinds, at) in zip(batch.column(0).to_pylist(), found, strict=True):
+            for doc, (hashes, kinds, at, words) in zip(batch.column(0).to_pylist(), found, strict=True):
                 for width in widths:
                     starts, h = windows(hashes, kinds, width, p.least_literals)
-                    if wanted is not None and len(h):
-                        hit = bitmap[h >> np.uint64(44)]
-                        starts, h = starts[hit], h[hit]
-                        value = h.view(np.int64)
-                        hit = wanted[np.minimum(np.searchsorted(wanted, value), len(wanted) - 1)] == value
-                        starts, h = starts[hit], h[hit]
-                    out[0].extend([doc] * len(h))
-                    out[1].extend(h.view(np.int64).tolist())
-                    out[2].extend(starts.tolist())
+                    hit = known_only(h)
+                    starts, h = starts[hit], h[hit]
                     out[3].extend(_slots(kinds, at, vocabulary.core, s, width) for s in starts)
+                    exact = word_windows(words, width)
+                    exact_starts = known_only(exact)
+                    exact = exact[exact_starts]
+                    out[3].extend([] for _ in exact_starts)
+                    out[0].extend([doc] * (len(h) + len(exact)))
+                    out[1].extend(np.concatenate([h, exact]).view(np.int64).tolist())
+                    out[2].extend(np.concatenate([starts, exact_starts]).tolist())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())), strict=True)],
                 names=["doc", "hash", "at", "slots"],
@@ -207,15 +240,15 @@ def contamination(
     hits = found.join(bench, "hash").withColumn("shift", F.col("at") - F.col("item_at"))
     pairs = F.arrays_zip("item_slots", "slots")
     # One alignment holds each window of the item once, so what is collected is bounded by the item.
-    aligned = hits.groupBy("doc", "item", "shift").agg(
+    aligned = hits.groupBy("doc", "item", "shift", "exact").agg(
         F.collect_set(F.struct("item_at", "width")).alias("places"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
         F.max("item_tokens").alias("item_tokens"),
     )
     one_to_one = F.size(F.array_distinct(F.transform("pairs", lambda x: x["item_slots"]))) == F.size("pairs")
     tokens = F.transform("places", lambda w: F.sequence(w["item_at"], w["item_at"] + w["width"] - 1))
-    aligned = aligned.where(one_to_one).select("doc", "item", "item_tokens", F.array_distinct(F.flatten(tokens)).alias("tokens"))
-    aligned = aligned.join(members, "item").select("doc", F.col("member").alias("item"), "item_tokens", F.explode("tokens").alias("token"))
+    aligned = aligned.where(one_to_one).select("doc", "item", "exact", "item_tokens", F.array_distinct(F.flatten(tokens)).alias("tokens"))
+    aligned = aligned.join(members, ["item", "exact"]).select("doc", F.col("member").alias("item"), "item_tokens", F.explode("tokens").alias("token"))
     covered = aligned.groupBy("doc", "item").agg(F.max("item_tokens").alias("item_tokens"), F.countDistinct("token").alias("covered"))
     covered = covered.where(F.col("covered") >= F.least(F.lit(p.least_covered), F.col("item_tokens")))
     return covered.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "covered", F.col("item_tokens").cast("long").alias("item_tokens"))
