@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from varve.llm import decontaminate
 
 DOCS = "doc_id long, text string"
@@ -25,3 +27,18 @@ def test_one_differing_slot_does_not_hide_a_copy(spark):
     words[3] = words[20] = words[50] = "12"
     copy = [*words[:50], "13", *words[51:]]
     assert _found(spark, [(1, " ".join(words))], [(1, " ".join(copy))]) == {(1, 1)}
+
+
+SHORT = ["12 + 7 * 3 = 40", "Carla has 12 cows", "Where is Paris", "The farmer has 12 cows and 7 pigs", "7 8 9 10 11 12 13 14 15 16", "Six cows of Peter ate 3 kg in 2 days on 9 fields near Rome"]
+
+
+@pytest.mark.parametrize("around", [("and so ", " as we know"), ("Before it. ", " After it."), ("they wrote 5 ", " 3 times")])
+def test_every_item_is_found_in_mid_sentence(spark, sf, around):
+    items = [(i, t) for i, t in enumerate(SHORT, 10**6)] + [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    found = _found(spark, items, [(i, around[0] + t + around[1]) for i, t in items])
+    assert {(i, i) for i, _ in items} <= found
+
+
+def test_other_numbers_in_mid_sentence(spark):
+    items = [(1, "The farmer has 12 cows and 7 pigs")]
+    assert _found(spark, items, [(1, "we know The farmer has 15 cows and 2 pigs today"), (2, "we know that Peter ate 15 cows and 2 pigs today")]) == {(1, 1)}

@@ -55,12 +55,15 @@ class Templates:
 
 
 class Tokens(NamedTuple):
-    """Of each token of a text: template hash, kind, place in the vocabulary, hash of the lower-cased word."""
+    """Of each token of a text: template hash, kind, place in the vocabulary, hash of the lower-cased word,
+    and its kind as the first word of a window, which must not depend on what precedes: NUMBER, or LITERAL and
+    besides the placeholder NAME (capital) or UNIT."""
 
     hashes: np.ndarray
     kinds: np.ndarray
     at: np.ndarray
     words: np.ndarray
+    heads: np.ndarray
 
 
 class Vocabulary:
@@ -114,22 +117,31 @@ class Vocabulary:
                 after_number = np.concatenate([[False], k[:-1] == NUMBER])
                 k[(k == UNIT) & ~after_number] = LITERAL
                 k[capital[at] & ~begins & (k == LITERAL)] = NAME
-            out.append(Tokens(np.where(k == LITERAL, literal[at], _PLACEHOLDERS[k]), k, at, literal[at]))
+            out.append(Tokens(np.where(k == LITERAL, literal[at], _PLACEHOLDERS[k]), k, at, literal[at], np.where(capital[at], np.int8(NAME), kind[at])))
         return out
 
 
-def windows(hashes: np.ndarray, kinds: np.ndarray, width: int, least_literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of every window with enough literals."""
-    n = len(hashes) - width + 1
+def windows(t: Tokens, width: int, least_literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and hash of every window with enough literals, and whether its first word is a slot.
+
+    A window that begins with a name or unit comes twice, with that word as a literal and as a placeholder.
+    """
+    n = len(t.hashes) - width + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    h = np.full(n, width, dtype=np.uint64)
-    for j in range(width):
-        h = ((h ^ (h >> np.uint64(29))) * _MIX) ^ hashes[j : n + j]
-    h = (h ^ (h >> np.uint64(32))) * _MIX
-    literals = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
-    enough = literals[width:] - literals[:-width] >= min(least_literals, width)
-    return np.flatnonzero(enough), h[enough]
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
+    rest = np.full(n, width, dtype=np.uint64)
+    for j in range(1, width):
+        rest = ((rest ^ (rest >> np.uint64(29))) * _MIX) ^ t.hashes[j : n + j]
+    rest = (rest ^ (rest >> np.uint64(29))) * _MIX
+    heads, least = t.heads[:n], min(least_literals, width)
+    literals = np.concatenate([[0], np.cumsum(t.kinds == LITERAL)])
+    literals = literals[width:] - literals[1 : n + 1]
+    number = heads == NUMBER
+    plain = np.flatnonzero(literals + ~number >= least)
+    other = np.flatnonzero((literals >= least) & ~number & (heads != LITERAL))
+    h = np.concatenate([rest[plain] ^ np.where(number, _PLACEHOLDERS[NUMBER], t.words[:n])[plain], rest[other] ^ _PLACEHOLDERS[heads[other]]])
+    slot = np.concatenate([number[plain], np.ones(len(other), dtype=bool)])
+    return np.concatenate([plain, other]), (h ^ (h >> np.uint64(32))) * _MIX, slot
 
 
 def word_windows(words: np.ndarray, width: int) -> np.ndarray:
@@ -139,8 +151,8 @@ def word_windows(words: np.ndarray, width: int) -> np.ndarray:
     return _rolling(words, width) ^ np.uint64(width)
 
 
-def _slots(kinds: np.ndarray, at: np.ndarray, core: list[str], start: int, width: int) -> list[str]:
-    return [core[at[i]] for i in range(start, start + width) if kinds[i] != LITERAL]
+def _slots(t: Tokens, core: list[str], start: int, width: int, head: bool) -> list[str]:
+    return [core[t.at[i]] for i in range(start, start + width) if (head if i == start else t.kinds[i] != LITERAL)]
 
 
 def benchmark_windows(items: DataFrame, p: Templates, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -155,16 +167,18 @@ def benchmark_windows(items: DataFrame, p: Templates, item_id: str = "item_id",
         for batch in slices(batches, 256):
             rows = []
             found = vocabulary.tokens(batch.column(1).to_pylist())
-            for item, (hashes, kinds, at, words) in zip(batch.column(0).to_pylist(), found, strict=True):
-                if len(hashes):
-                    width = min(p.window, len(hashes))
+            for item, t in zip(batch.column(0).to_pylist(), found, strict=True):
+                if n := len(t.hashes):
+                    width = min(p.window, n)
                     first: dict[str, int] = {}
-                    pattern = [first.setdefault(v, i) for i, v in enumerate(_slots(kinds, at, vocabulary.core, 0, len(hashes)))]
-                    template = xxhash.xxh3_64_intdigest(hashes.tobytes() + np.array(pattern, dtype=np.int64).tobytes()) - (1 << 63)
-                    for start, h in zip(*windows(hashes, kinds, width, p.least_literals), strict=True):
-                        rows.append((int(h.view(np.int64)), item, int(start), width, len(hashes), _slots(kinds, at, vocabulary.core, start, width), False, template))
-                    for start, h in enumerate(word_windows(words, width)):
-                        rows.append((int(h.view(np.int64)), item, start, width, len(hashes), [], True, template))
+                    pattern = [first.setdefault(v, i) for i, v in enumerate(vocabulary.core[j] for j in t.at[(t.kinds != LITERAL) | (t.heads != LITERAL)])]
+                    # Windows that begin with a name or unit hold its word, so these words belong to the template.
+                    begins = np.where(t.heads == NUMBER, _PLACEHOLDERS[NUMBER], t.words)
+                    template = xxhash.xxh3_64_intdigest(t.hashes.tobytes() + begins.tobytes() + np.array(pattern, dtype=np.int64).tobytes()) - (1 << 63)
+                    for start, h, head in zip(*windows(t, width, p.least_literals), strict=True):
+                        rows.append((int(h.view(np.int64)), item, int(start), width, n, _slots(t, vocabulary.core, start, width, head), False, template))
+                    for start, h in enumerate(word_windows(t.words, width)):
+                        rows.append((int(h.view(np.int64)), item, start, width, n, [], True, template))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds_)], names=names)
 
     names = ["hash", "item", "item_at", "width", "item_tokens", "item_slots", "exact", "template"]
@@ -218,13 +232,13 @@ def contamination(
         for batch in slices(batches):
             out: tuple[list, ...] = ([], [], [], [])
             found = vocabulary.tokens(batch.column(1).to_pylist())
-            for doc, (hashes, kinds, at, words) in zip(batch.column(0).to_pylist(), found, strict=True):
+            for doc, t in zip(batch.column(0).to_pylist(), found, strict=True):
                 for width in widths:
-                    starts, h = windows(hashes, kinds, width, p.least_literals)
+                    starts, h, heads = windows(t, width, p.least_literals)
                     hit = known_only(h)
-                    starts, h = starts[hit], h[hit]
-                    out[3].extend(_slots(kinds, at, vocabulary.core, s, width) for s in starts)
-                    exact = word_windows(words, width)
+                    starts, h, heads = starts[hit], h[hit], heads[hit]
+                    out[3].extend(_slots(t, vocabulary.core, s, width, head) for s, head in zip(starts, heads, strict=True))
+                    exact = word_windows(t.words, width)
                     exact_starts = known_only(exact)
                     exact = exact[exact_starts]
                     out[3].extend([] for _ in exact_starts)
