@@ -11,3 +11,10 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def sized_slices(batches: Iterable[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``size`` bytes; a larger row comes alone."""
+    for batch in slices(batches, rows):
+        step = max(batch.num_rows * size // max(batch.nbytes, 1), 1)
+        yield from slices([batch], step)

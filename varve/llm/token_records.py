@@ -10,6 +10,8 @@ a 16-byte head (flags, number of ids, document id) and the ids as little-endian
 from __future__ import annotations
 
 import os
+import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,11 +20,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varve.llm.batches import slices
+from varve.llm.batches import sized_slices
 from varve.llm.shared_files import AtomicFile, filesystem
 from varve.operators.staging import Workspace
 
@@ -30,6 +33,11 @@ HEAD, HEAD_BYTES = "<IIq", 16
 NULL_ID, WIDE_IDS = 1, 2
 #: CRC-32C polynomial in reflected form, and the constant added by masking.
 CASTAGNOLI, MASK_DELTA = 0x82F63B78, 0xA282EAD8
+ASCII_LETTERS, MARKS = string.ascii_letters, string.punctuation.replace("'", "")
+#: Letters and bytes of other scripts, then ASCII marks without the apostrophe.
+_MARKED = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
+#: Bytes of record files that one task reads back.
+READ_BYTES = 1 << 24
 #: Words whose ids a worker remembers in each of two generations.
 CACHE_WORDS = 500_000
 SEGMENT_SCHEMA = "file string, part int, segment int, first long, records long, begin long, end long, ids_before long, ids long"
@@ -100,30 +108,48 @@ class WordEncoder:
         """Bytes of a stored id."""
         return 2 if max(_tokenizer(self.tokenizer_file).get_vocab_size(), self.end_id) <= 1 << 16 else 4
 
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]  # at ASCII white space only
+    def batch(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """The ids of every text with the end id, as stored; a null text is empty."""
+        folds, cuts = _probed(self.tokenizer_file)
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        split = pc.ascii_split_whitespace(pc.ascii_lower(column) if folds else column)  # words, and empty ones at the edges
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
         generations = _remembered(self.tokenizer_file)
         older, recent = generations
-        missing = set()
-        for words in split:
-            for word in words:
-                if word not in recent:
-                    ids = older.get(word)
-                    if ids is None:
-                        missing.add(word)
-                    else:
-                        recent[word] = ids
-        fresh = dict(zip(missing, self._encode_words(list(missing)), strict=True))
-        end = self.end_id.to_bytes(self.width, "little")
-        known = recent | fresh if len(recent) < len(fresh) else recent
-        if known is recent:
+        ids_of = list(map(recent.get, words))
+        missing = {w for w, ids in zip(words, ids_of, strict=True) if ids is None}
+        if missing:
+            fresh = {w: older[w] for w in missing if w in older}
+            fresh |= self._ids_of(missing.difference(fresh), recent, cuts)
             recent.update(fresh)
-        out = [b"".join([known[w] for w in words]) + end for words in split]
-        if len(known) > CACHE_WORDS:
-            generations[:] = [known, {}]
-        else:
-            generations[1] = known
-        return out
+            ids_of = [fresh[w] if ids is None else ids for w, ids in zip(words, ids_of, strict=True)]
+        if len(recent) > CACHE_WORDS:
+            generations[:] = [recent, {}]
+        # Ids of the different words one after another, from which every word of the texts takes its run.
+        store = np.frombuffer(b"".join(ids_of), dtype=f"<u{self.width}")
+        sizes = np.array(list(map(len, ids_of)), dtype=np.int64) // self.width
+        begins = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        taken = sizes[at] if len(at) else np.zeros(0, dtype=np.int64)
+        before = np.concatenate([[0], np.cumsum(taken)])
+        ids = store[np.repeat(begins[at] - before[:-1], taken) + np.arange(before[-1])] if len(at) else store
+        offsets = split.offsets.to_numpy()
+        bounds = before[offsets - offsets[0]].tolist()
+        end = self.end_id.to_bytes(self.width, "little")
+        return [ids[i:j].tobytes() + end for i, j in zip(bounds, bounds[1:], strict=False)]
+
+    def _ids_of(self, words: set[bytes], known: dict[bytes, bytes], cuts: bool) -> dict[bytes, bytes]:
+        """Ids of words; letters and the marks after them are looked up apart where the tokenizer parts them anyway."""
+        parts: dict[bytes, tuple[bytes, ...]] = {}
+        for word in words:
+            m = _MARKED.fullmatch(word) if cuts else None
+            parts[word] = m.groups() if m and (word[m.end(1) - 1] < 128 or m[1].decode()[-1].isalpha()) else (word,)
+        pieces = {p for ps in parts.values() for p in ps}
+        ids = {p: known[p] for p in pieces if p in known}
+        fresh = list(pieces.difference(ids))
+        ids |= zip(fresh, self._encode_words(fresh), strict=True)
+        return ids | {w: b"".join([ids[p] for p in ps]) for w, ps in parts.items()}
 
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
         """Words joined by spaces, in groups; token offsets tell which word a token belongs to."""
@@ -151,6 +177,16 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def _probed(path: str) -> tuple[bool, bool]:
+    """Whether a tokenizer ignores the case of A-Z, and whether it always parts a run of letters from the ASCII marks after it."""
+    tokenizer = _tokenizer(path)
+    folds = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str(ASCII_LETTERS) == ASCII_LETTERS.lower()
+    parts = lambda text: [piece[1] for piece in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+    cuts = tokenizer.pre_tokenizer is not None and all(parts(f"ab{a}{b}") == [(0, 2), (2, 4)] for a in MARKS for b in MARKS)
+    return folds, cuts and folds
+
+
 @lru_cache(maxsize=2)
 def _remembered(path: str) -> list[dict[bytes, bytes]]:
     return [{}, {}]
@@ -181,11 +217,11 @@ def write_records(
                 )
             seg.update(first=done, begin=data.size, ids=0)
 
-        for batch in slices(batches):
+        for batch in sized_slices(batches, 4096, 1 << 24):
             if data is None:
                 data, offsets = AtomicFile(f"{name}.records", attempt), AtomicFile(f"{name}.offsets", attempt)
             keys = batch.column(0).to_pylist()
-            ids = encoder.batch(batch.column(1).to_pylist())
+            ids = encoder.batch(batch.column(1))
             records = [pack_record(k, i, encoder.width) for k, i in zip(keys, ids, strict=True)]
             lengths = [struct.pack("<Q", len(r)) for r in records]
             for n, record, length, a, b in zip(
@@ -278,7 +314,10 @@ def read_documents(segments: DataFrame) -> DataFrame:
                     start += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in (keys, starts, counts, sums)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return work.repartition(F.xxhash64("file", "begin")).mapInArrow(read, DOCUMENT_SCHEMA)
+    # As many tasks as the files have bytes for; the table of segments itself is tiny and would be read by one.
+    size = segments.agg(F.sum(F.col("end") - F.col("begin"))).first()[0] or 0
+    tasks = max(-(-size // READ_BYTES), 1)
+    return work.repartition(tasks, F.xxhash64("file", "begin")).mapInArrow(read, DOCUMENT_SCHEMA)
 
 
 def archive(docs: DataFrame, encoder: WordEncoder, folder: str | None = None) -> DataFrame:

@@ -29,6 +29,8 @@ SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes of records that one task reads back.
+READ_BYTES = 1 << 25
 INDEX_SCHEMA = "record_id string, bundle string, frame long, offset long, length long"
 RECORD_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -244,7 +246,10 @@ def read_records(index: DataFrame) -> DataFrame:
         if reader:
             reader.close()
 
-    work = index.select("bundle", "frame", "offset", "length").repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
+    # As many tasks as the frames have bytes for; the index itself is tiny and would be read by one.
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-size // READ_BYTES), 1)
+    work = index.select("bundle", "frame", "offset", "length").repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
     return work.mapInArrow(read, RECORD_SCHEMA)
 
 
