@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that equal or resemble an earlier line; documents left without a word go, n_chars follows the text."""
     has_words = F.coalesce(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "", F.lit(False))
-    cleaned = line_dedup.drop_lines(docs.withColumn("had_words_", has_words), line_dedup.find_duplicates(docs, line_dedup.WHOLE))
+    cleaned = line_dedup.drop_lines(docs.withColumn("had_words_", has_words), line_dedup.mark_duplicates(docs, line_dedup.WHOLE))
     return cleaned.where(has_words | ~F.col("had_words_")).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
@@ -35,8 +35,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each near-duplicate group (five words, similarity of 0.8): the smallest id. Rows with a null id stay."""
     judged = near_dedup.near_duplicates(docs, near_dedup.NearDedup(percent=80))
     kept = judged.where("kept and doc_id is not null").select("doc_id").distinct()
-    chosen = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    chosen = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    # Of rows with the same id the first by its columns in their order stays.
+    chosen = chosen.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("row"))
+    return chosen.select("doc_id", "row.*").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,12 +11,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from varve.llm.batches import slices
-from varve.llm.minhash import Banding, flat_signatures, similar_components
+from varve.llm.batches import sized_slices
+from varve.llm.membership import Bitmap
+from varve.llm.minhash import NODE_SCHEMA, Banding, flat_signatures, node_columns, similar_components
 from varve.operators.staging import Workspace
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -40,6 +45,7 @@ class LineDedup(Banding):
     min_chars: int = 25
     tile_shingles: int = 200_000
     exact_all: bool = False
+    sized: bool = False
     steps: tuple[tuple[int, int, int], ...] = ()
 
     @property
@@ -93,15 +99,6 @@ def shingle_hashes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     return _rolling(codes, k)[inside[: len(codes) - k + 1]], counts
 
 
-def distinct_counts(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Distinct hashes per line, by one sort of line number and leading hash bits (at least 48 of them)."""
-    bits = np.uint64(max(len(counts) - 1, 1).bit_length())
-    owner = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
-    keys = np.sort((owner << (np.uint64(64) - bits)) | (hashes >> bits))
-    fresh = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=bool)
-    return np.bincount(owner.astype(np.int64), weights=fresh, minlength=len(counts)).astype(np.int64)
-
-
 def shingle_sets(lines: list[str], k: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the k-character shingles of each line."""
     hashes, counts = shingle_hashes(lines, k)
@@ -114,100 +111,163 @@ def shingle_sets(lines: list[str], k: int) -> list[np.ndarray]:
 
 
 def find_duplicates(docs: DataFrame, params: LineDedup = LineDedup(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, line_no)`` of every line to drop; the smallest (doc_id, line_no) of each component is not among them.
+    """``(doc_id, line_no)`` of every line to drop: the places of :func:`mark_duplicates`."""
+    return mark_duplicates(docs, params, doc_id, text).select("doc_id", "line_no").distinct()
+
+
+def mark_duplicates(docs: DataFrame, params: LineDedup = LineDedup(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, line_no, check)`` of every line to drop; the smallest (doc_id, line_no) of each component is not among them.
 
     Lines are what ``\\n`` separates, numbered from 0. Lines of at least ``min_chars`` characters
     are linked when equal or when their character shingles reach the threshold, other lines that are
     not blank when equal and ``exact_all`` is set. Null texts have no
-    lines. Rows with a null id take part with no lines. Rows with the same id share their numbers:
-    a line is then dropped where its number and content were marked, in each of those rows alike.
+    lines. Rows with a null id take part with no lines. ``check`` is Spark's xxhash64 of the line: of
+    rows with the same id only those lose a line that hold it at this number. An empty table gives none.
     """
     p = params
     ws = Workspace(docs.sparkSession, "lines")
     base = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    lines = base.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.where(F.col("line").rlike(r"\S") if p.exact_all else F.char_length("line") >= p.min_chars)
-
-    def shingles_of(line: str) -> Column:
-        """The shingle lengths by which a line is compared."""
-        n = F.char_length(line)
-        return F.array_compact(F.array(*[F.when(n.between(least, most), F.lit(k)) for k, least, most in p.ladder]))
 
-    places = lines.select(F.xxhash64("line").alias("id"), "doc", "line_no")
-    firsts = places.groupBy("id").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = ws.table(firsts.select("id", "first.*", "n"), "firsts")
+    def lines_of(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The lines that take part, the row of each and its number there."""
+        split = pc.split_pattern(batch.column("text"), "\n")
+        lines, rows, offsets = split.flatten(), pc.list_parent_indices(split).to_numpy(), split.offsets.to_numpy()
+        numbers = np.arange(len(lines)) - (offsets - offsets[0])[rows]
+        if p.exact_all:
+            wanted = pc.greater(pc.binary_length(pc.ascii_trim_whitespace(lines)), 0)
+        else:
+            wanted = pc.greater_equal(pc.utf8_length(lines), p.min_chars)
+        chosen = wanted.to_numpy(zero_copy_only=False)
+        return lines.filter(wanted), rows[chosen], numbers[chosen]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: set[int] = set()  # spares lines this task has just signed; the table is made distinct below
-        for batch in slices(batches, 1024):
-            rows = {r[0]: r for r in zip(*(c.to_pylist() for c in batch.columns), strict=True) if r[0] not in recent}
-            if len(recent) > 100_000:
+        """A row with ``doc`` for every line, and one with ``id`` for each way in which a line is compared."""
+        recent: set[int] = set()  # lines this task has signed; others may sign them again
+        for batch in sized_slices(batches, 1024, 1 << 23):
+            lines, rows, numbers = lines_of(batch)
+            ids, checks = _hashes(lines)
+            places = [pa.array(ids), pa.array(checks), batch.column("doc").take(pa.array(rows)), pa.array(numbers, pa.int32())]
+            yield _rows(places, [None] * 4, len(ids))
+            if len(recent) > 1_000_000:
                 recent.clear()
-            recent.update(rows)
-            for k, _, _ in p.ladder:
-                fresh = [r for r in rows.values() if r[3] == k]
-                hashes, counts = shingle_hashes([r[4] for r in fresh], k)
-                sig = flat_signatures(hashes, counts, p.hashes)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[pa.array([r[i] for r in fresh], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))],
-                        pa.array(distinct_counts(hashes, counts), pa.int64()),
-                        pa.array([r.tobytes() for r in sig], pa.binary()),
-                    ],
-                    names=["id", "line_id", "shared", "size", "sig"],
-                )
-
-    # A node is a line under one shingle length; the nodes of a line in two steps are tied below.
-    ks = lines.select("line", shingles_of("line").alias("ks"))
-    ks = ks.select("line", (F.size("ks") > 1).alias("shared"), F.explode("ks").alias("k"))
-    ks = ks.select(F.xxhash64("line", "k").alias("id"), F.xxhash64("line").alias("line_id"), "shared", "k", "line")
-    signed = ks.mapInArrow(sign, "id long, line_id long, shared boolean, size long, sig binary")
-    reps = ws.table(signed.dropDuplicates(["id"]), "signatures")
+            seen, at = np.unique(ids, return_index=True)
+            at = np.sort(at[[i not in recent for i in seen.tolist()]])
+            recent.update(seen.tolist())
+            lengths = pc.utf8_length(lines).to_numpy()
+            for step, (k, least, most) in enumerate(p.ladder):
+                fresh = at[(lengths[at] >= least) & (lengths[at] <= most)]
+                for i in range(0, len(fresh), 1024):
+                    some = fresh[i : i + 1024]
+                    hashes, counts = shingle_hashes(lines.take(pa.array(some)).to_pylist(), k)
+                    node = [pa.array(ids[some] | step), pa.array(counts), *node_columns(p, flat_signatures(hashes, counts, p.hashes))]
+                    yield _rows([None] * 4, node, len(some))
+
+    signed = ws.table(base.mapInArrow(sign, f"line long, check long, doc long, line_no int, {NODE_SCHEMA}"), "signed")
+    places = signed.where("doc is not null").select("line", "check", "doc", "line_no")
+    nodes = signed.where("id is not null").select("id", "size", "sig", "keys")
 
     def payloads(candidates: DataFrame) -> DataFrame:
-        # The first place of each candidate names the texts to read; all other texts stay where they are.
-        named = candidates.join(reps.select("id", "line_id"), "id").select(F.col("line_id").alias("id")).distinct()
-        wanted = named.join(firsts, "id").groupBy("doc").agg(F.collect_set("line_no").alias("numbers"))
-        texts = base.join(wanted, "doc").select(F.expr("explode(filter(transform(split(text, '\\n'), (line, i) -> struct(line, i)), x -> array_contains(numbers, x.i)))").alias("x"))
-        texts = texts.select("x.line").select("line", F.explode(shingles_of("line")).alias("k"))
-        payload = F.encode(F.concat(F.chr(F.col("k").cast("long")), "line"), "utf-8").alias("payload")
-        return texts.select(F.xxhash64("line", "k").alias("id"), payload).join(candidates, "id", "left_semi").dropDuplicates(["id"])
+        """The candidates' lines; other lines are dropped where they are read."""
+        wanted = ws.table(candidates.select(F.col("id").bitwiseAND(F.lit(~_STEP)).alias("line")).distinct(), "wanted")
+        known = Bitmap(wanted, "line")
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            recent: set[int] = set()
+            for batch in sized_slices(batches, 1024, 1 << 23):
+                lines = lines_of(batch)[0]
+                ids, _ = _hashes(lines)
+                ids, first = np.unique(ids, return_index=True)
+                few = known.passes(ids)
+                few[few] = [i not in recent for i in ids[few].tolist()]
+                if len(recent) > 1_000_000:
+                    recent.clear()
+                recent.update(ids[few].tolist())
+                data = lines.take(pa.array(first[few])).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[few]), data], names=["line", "data"])
+
+        texts = base.mapInArrow(read, "line long, data binary").join(wanted, "line", "left_semi").dropDuplicates(["line"])
+        step = F.col("id").bitwiseAND(F.lit(_STEP))
+        named = candidates.select("id", F.col("id").bitwiseAND(F.lit(~_STEP)).alias("line"), step.alias("step")).join(texts, "line")
+        return named.select("id", F.concat(F.encode(F.chr("step"), "utf-8"), "data").alias("payload"))
 
     def to_sets(data: list[bytes]) -> list[np.ndarray]:
         out: dict[int, np.ndarray] = {}
-        for k, _, _ in p.ladder:
-            some = [i for i, d in enumerate(data) if d[0] == k]
+        for step, (k, _, _) in enumerate(p.ladder):
+            some = [i for i, d in enumerate(data) if d[0] == step]
             out |= zip(some, shingle_sets([data[i][1:].decode() for i in some], k), strict=True)
         return [out[i] for i in range(len(data))]
 
-    nodes = reps.where("shared").groupBy("line_id").agg(F.array_sort(F.collect_set("id")).alias("ids")).where("size(ids) > 1")
-    same = nodes.select(F.col("ids")[0].alias("src"), F.explode(F.slice("ids", F.lit(2), F.size("ids"))).alias("dst"))
-    linked = similar_components(ws, p, reps, payloads, to_sets, same)
-    linked = linked.withColumnRenamed("node", "id").join(reps.select("id", "line_id"), "id").groupBy("line_id").agg(F.min("component").alias("component"))
-    # One row per distinct line that is repeated or linked, with the component it belongs to.
-    heads = firsts.join(linked.withColumnRenamed("line_id", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    keep = heads.groupBy("component").agg(F.min(F.struct("doc", "line_no")).alias("keep"), F.sum("n").alias("total")).where("total > 1")
-    keep = ws.table(heads.join(keep, "component").select("id", F.col("keep.doc").alias("keep_doc"), F.col("keep.line_no").alias("keep_no")), "keep")
-    dropped = places.join(keep, "id").where("doc <> keep_doc or line_no <> keep_no")
-    return ws.table(dropped.select(F.col("doc").alias("doc_id"), "line_no").distinct(), "dropped")
+    linked = similar_components(ws, p, nodes, payloads, to_sets, lambda node: node.bitwiseAND(F.lit(~_STEP)))
+    # Lines that are repeated or linked; equal lines have equal ``line`` and ``check``, 126 bits of hashes.
+    counted = places.groupBy("line", "check").agg(F.count(F.lit(1)).alias("n"))
+    grouped = counted.join(linked.withColumnRenamed("node", "line"), "line", "left").where("n > 1 or component is not null")
+    grouped = grouped.select("line", "check", F.coalesce("component", "line").alias("component"), F.when(F.col("component").isNull(), F.col("check")).otherwise(F.lit(0)).alias("own"))
+    held = ws.table(places.join(ws.table(grouped, "grouped"), ["line", "check"]), "held")
+    keep = held.groupBy("component", "own").agg(F.min(F.struct("doc", "line_no")).alias("keep"), F.count(F.lit(1)).alias("total")).where("total > 1")
+    dropped = held.join(ws.table(keep, "keep"), ["component", "own"]).where("doc <> keep.doc or line_no <> keep.line_no")
+    return ws.table(dropped.select(F.col("doc").alias("doc_id"), "line_no", "check").distinct(), "dropped")
+
+
+#: The low bits of a node's id, in which it differs from the id of its line: the place of its shingle length in the ladder.
+_STEP = 3
+
+
+def _hashes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every line: one with the low bits of ``_STEP`` clear, and Spark's ``xxhash64``."""
+    data = lines.cast(pa.binary()).to_pylist()
+    ids = np.fromiter(map(xxhash.xxh3_64_intdigest, data), dtype=np.uint64, count=len(data)) & np.uint64(~_STEP & (1 << 64) - 1)
+    return ids.view(np.int64), np.fromiter((xxhash.xxh64_intdigest(d, 42) for d in data), dtype=np.uint64, count=len(data)).view(np.int64)
+
+
+def _rows(place: list, node: list, n: int) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    columns = [pa.nulls(n, t) if c is None else c for c, t in zip([*place, *node], kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=["line", "check", "doc", "line_no", "id", "size", "sig", "keys"])
+
+
+@F.pandas_udf(T.StringType())
+def _without(texts: pd.Series, marks: pd.Series) -> pd.Series:
+    """Texts without the marked lines; a mark counts only where the line has its hash, or has none. Null marks leave a text as it is."""
+
+    def clean(text: str | None, marked: list | None) -> str | None:
+        if text is None or marked is None:
+            return text
+        known: dict[int, set] = {}
+        for m in marked:
+            known.setdefault(m["line_no"], set()).add(m["check"])
+        goes = lambda n, line: n in known and (None in known[n] or _signed(xxhash.xxh64_intdigest(line.encode(), 42)) in known[n])
+        return "\n".join(line for n, line in enumerate(text.split("\n")) if not goes(n, line))
+
+    return pd.Series([clean(t, m) for t, m in zip(texts, marks, strict=True)], dtype=object)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def drop_lines(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the dropped lines, same columns; texts without dropped lines come back unchanged."""
-    numbers = dropped.groupBy(F.col("doc_id").alias("d_")).agg(F.collect_set("line_no").alias("numbers_"))
-    joined = docs.join(numbers, F.col(doc_id) == F.col("d_"), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains("numbers_", i)), "\n")
-    return joined.select(*[F.when(F.col("numbers_").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c) for c in docs.columns])
+    """``docs`` without the dropped lines, same columns; texts without dropped lines come back unchanged.
+
+    A line goes where its number and, given a column ``check``, its content were marked: of rows with
+    the same id each then loses only lines of its own.
+    """
+    if "check" not in dropped.columns:
+        dropped = dropped.withColumn("check", F.lit(None).cast("long"))
+    marks = dropped.groupBy(F.col("doc_id").alias("d_")).agg(F.collect_set(F.struct("line_no", "check")).alias("marks_"))
+    joined = docs.join(marks, F.col(doc_id) == F.col("d_"), "left")
+    cleaned = F.when(F.col("marks_").isNull(), F.col(text)).otherwise(_without(F.when(F.col("marks_").isNotNull(), F.col(text)), "marks_"))
+    return joined.select(*[cleaned.alias(c) if c == text else F.col(c) for c in docs.columns])
 
 
 def summary(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_lines, n_dropped, dropped_lines, kept)`` for every row; kept is false where nothing but dropped lines was there."""
+    """``(doc_id, n_lines, n_dropped, dropped_lines, kept)`` for every row; kept is false where nothing but dropped lines was there.
+
+    Rows with the same id share their list of dropped lines. Null texts have no lines.
+    """
     numbers = dropped.groupBy(F.col("doc_id").alias("d_")).agg(F.array_sort(F.collect_set("line_no")).alias("dropped_lines"))
-    n = F.coalesce(F.size(F.split(F.col(text), "\n")), F.lit(0)).cast("long")
-    counted = docs.select(F.col(doc_id).alias("doc_id"), F.when(F.col(text).isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_lines"))
+    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n")))
+    counted = docs.select(F.col(doc_id).alias("doc_id"), n.cast("long").alias("n_lines"))
     out = counted.join(numbers, F.col("doc_id") == F.col("d_"), "left").drop("d_")
-    lost = F.coalesce(F.size("dropped_lines"), F.lit(0)).cast("long")
-    out = out.withColumn("n_dropped", F.when(F.col("dropped_lines").isNull(), F.lit(0)).otherwise(lost).cast("long"))
-    return out.withColumn("dropped_lines", F.coalesce("dropped_lines", F.array().cast("array<int>"))).withColumn(
-        "kept", (F.col("n_lines") == 0) | (F.col("n_dropped") < F.col("n_lines"))
-    )
+    out = out.withColumn("dropped_lines", F.coalesce("dropped_lines", F.array().cast("array<int>")))
+    out = out.withColumn("n_dropped", F.size("dropped_lines").cast("long"))
+    return out.withColumn("kept", (F.col("n_lines") == 0) | (F.col("n_dropped") < F.col("n_lines")))

@@ -15,13 +15,18 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varve.llm.membership import Bitmap
 from varve.operators.components import connected_components
 from varve.operators.staging import Workspace
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+NODE_SCHEMA = "id long, size long, sig binary, keys array<long>"
+
+
 @dataclass(frozen=True)
 class Banding:
     """Parameters. ``percent`` is the Jaccard threshold; ``miss`` the posterior probability at which a candidate is dropped.
@@ -37,11 +42,24 @@ class Banding:
     miss: float = 1e-5
     tile_docs: int = 256
     tile_shingles: int = 500_000
+    #: Whether the column ``size`` is the exact size of the set, so that pairs are also pruned by it.
+    sized: bool = True
 
     @property
     def hashes(self) -> int:
         return self.bands * self.rows
 
+    def keys(self, sig: np.ndarray) -> np.ndarray:
+        """One bucket key per signature and band: a hash of the band's rows whose low 5 bits are the number of the band (at most 32)."""
+        parts = sig.reshape(len(sig), self.bands, self.rows).astype(np.uint64)
+        h = np.full(parts.shape[:2], 0x51, dtype=np.uint64)
+        for j in range(self.rows):
+            h = (h ^ parts[:, :, j]) * _MIX
+            h ^= h >> np.uint64(29)
+        h *= _MIX
+        h ^= h >> np.uint64(32)
+        return ((h & ~np.uint64(31)) | np.arange(self.bands, dtype=np.uint64)).view(np.int64)
+
     def least_matches(self) -> list[int]:
         """After 1, 2, ... batches: the fewest matches that keep P(similarity >= threshold) at or above ``miss``.
 
@@ -90,6 +108,13 @@ def flat_signatures(members: np.ndarray, sizes: np.ndarray, hashes: int) -> np.n
     return out
 
 
+def node_columns(p: Banding, sig: np.ndarray) -> list[pa.Array]:
+    """The columns ``sig`` and ``keys`` of NODE_SCHEMA for a block of signatures."""
+    data = pa.array([r.tobytes() for r in sig], pa.binary())
+    offsets = pa.array(np.arange(len(sig) + 1, dtype=np.int32) * np.int32(p.bands))
+    return [data, pa.ListArray.from_arrays(offsets, pa.array(p.keys(sig).ravel(), pa.int64()))]
+
+
 def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The sorted input in tables that never cut a tile."""
     held: list[pa.RecordBatch] = []
@@ -144,7 +169,9 @@ def tile_pairs(tile: np.ndarray, side: np.ndarray, most: int = 1 << 17) -> Itera
 def prune(p: Banding, least: list[int], x: np.ndarray, y: np.ndarray, ids, group, size, sig, band) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of row numbers that survive the sequential comparison of their signatures."""
     small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-    keep = (group[x] != group[y]) & (ids[x] != ids[y]) & (100 * small >= p.percent * large)
+    keep = (group[x] != group[y]) & (ids[x] != ids[y])
+    if p.sized:
+        keep &= 100 * small >= p.percent * large
     x, y = x[keep], y[keep]
     matches = np.zeros(len(x), dtype=np.int64)
     for step, low in enumerate(least):
@@ -163,29 +190,33 @@ def prune(p: Banding, least: list[int], x: np.ndarray, y: np.ndarray, ids, group
 def similar_components(
     ws: Workspace,
     p: Banding,
-    reps: DataFrame,
+    nodes: DataFrame,
     payloads_of: Callable[[DataFrame], DataFrame],
     to_sets: Callable[[list[bytes]], list[np.ndarray]],
-    same: DataFrame | None = None,
+    item: Callable[[Column], Column] = lambda node: node,
+    ties: DataFrame | None = None,
 ) -> DataFrame:
     """``(node, component)`` of every item that is linked to another one.
 
-    ``reps`` has unique ``id`` (long), ``size`` of the set and ``sig``. ``payloads_of`` gets a table
-    of candidate ids and returns ``(id, payload)``; ``to_sets`` turns payloads into sorted arrays of
-    distinct hashes. ``same`` has pairs ``(src, dst)`` of ids that belong together wherever both are linked.
+    ``nodes`` has the columns of NODE_SCHEMA; repeated rows of an id are harmless. ``payloads_of``
+    gets a table of candidate ids and returns ``(id, payload)``; ``to_sets`` turns payloads into
+    sorted arrays of distinct hashes. ``item`` gives the item a node belongs to, if items have
+    several nodes. ``ties`` has further links ``(src, dst)`` between items.
     """
-    width = 2 * p.rows
-    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)).alias("key")) for b in range(p.bands)])
-    placed = reps.select("id", "size", F.explode(bands).alias("b")).select("id", "size", "b.band", "b.key")
-    crowded = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = ws.table(placed.join(crowded, "key"), "buckets")
-
-    payloads = ws.table(payloads_of(buckets.select("id").distinct()), "payloads")
-
-    # Round 1: the member that shares most buckets with others leads its buckets.
-    weight = buckets.groupBy("id").agg(F.sum("n").alias("weight"))
-    leaders = buckets.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("leader"))
-    led = buckets.join(leaders, "key").where("id <> leader").select("leader", "id").distinct()
+    # A bucket is crowded if it has two different members. Only rows that may have a crowded key are read on.
+    placed = nodes.select("id", F.explode("keys").alias("key"))
+    crowded = placed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
+    crowded = ws.table(crowded.select("key", "leader"), "crowded")
+    met = ws.table(nodes.select("id", "size", "sig", "keys").mapInArrow(Bitmap(crowded, "key").rows_with_key, NODE_SCHEMA), "met")
+    buckets = met.select("id", "size", F.explode("keys").alias("key")).join(crowded, "key").distinct()
+    buckets = ws.table(buckets.withColumn("band", F.pmod("key", F.lit(32)).cast("int")), "buckets")
+    reps = met.join(buckets.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "size", "sig")
+    reps = ws.table(reps, "candidates")
+    ws.drop(met)
+    payloads = ws.table(payloads_of(reps.select("id")), "payloads")
+
+    # Round 1: the smallest member leads its buckets and meets the others.
+    led = buckets.where("id <> leader").select("leader", "id").distinct()
     per_leader = led.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
     led = led.join(per_leader, "leader").select("leader", "id", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / p.tile_docs)).alias("block"))
     led = ws.table(led.withColumn("tile", F.xxhash64("leader", "block")), "led")
@@ -194,9 +225,11 @@ def similar_components(
     )
     first_links = ws.table(_link(ws, p, tiles, reps, payloads, to_sets), "links")
 
-    # Round 2: what is still apart inside a bucket meets; the largest component stays on one side.
-    groups = connected_components(first_links)
-    grouped = buckets.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id"))
+    # Round 2: members that are still apart meet, but for the leaders, which have met all members of their
+    # buckets; the largest component of a bucket stays on one side.
+    between = lambda links: links.select(item(F.col("src")).alias("src"), item(F.col("dst")).alias("dst"))
+    groups = connected_components(between(first_links)).withColumnRenamed("node", "item")
+    grouped = buckets.where("id <> leader").withColumn("item", item(F.col("id"))).join(groups, "item", "left").withColumn("group", F.coalesce("component", "item"))
     sizes = grouped.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
     split = (
         sizes.groupBy("key")
@@ -210,7 +243,7 @@ def similar_components(
         blocks(F.col("total") - F.col("major.n"), F.col("total_s") - F.col("major.s")).alias("minor_blocks"),
         blocks(F.col("major.n"), F.col("major.s")).alias("major_blocks"),
     )
-    apart = grouped.join(split, "key").drop("component", "n")
+    apart = grouped.join(split, "key").drop("component", "item", "leader")
     is_major = F.col("group") == F.col("major")
     block = F.when(is_major, F.col("minor_blocks") + F.pmod(F.xxhash64("id"), F.col("major_blocks"))).otherwise(
         F.pmod(F.xxhash64("id"), F.col("minor_blocks"))
@@ -222,12 +255,8 @@ def similar_components(
     low, high = F.least("block", "other"), F.greatest("block", "other")
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") == low, 0).otherwise(1)
     tiles = tiled.select(F.xxhash64("key", low, high).alias("tile"), "id", side.alias("side"), "band", "group")
-    links = first_links.union(_link(ws, p, tiles, reps, payloads, to_sets))
-    links = ws.table(links, "all-links")
-    if same is not None:
-        nodes = links.select("src").union(links.select("dst")).distinct()
-        tied = same.join(nodes, "src", "left_semi").join(nodes.withColumnRenamed("src", "dst"), "dst", "left_semi")
-        links = ws.table(links.union(tied.select("src", "dst")), "tied-links")
+    links = between(first_links.union(_link(ws, p, tiles, reps, payloads, to_sets)))
+    links = ws.table(links if ties is None else links.union(ties.select("src", "dst")), "all-links")
     return ws.table(connected_components(links), "components")
 
 
@@ -275,7 +304,9 @@ def _link(ws: Workspace, p: Banding, tiles: DataFrame, reps: DataFrame, payloads
                 first = last
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
+    # A fixed number of tasks: by their bytes alone these compute-heavy rows would be put into few.
+    tasks = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     rows = tiles.join(reps, "id").select("tile", "id", "side", "band", "group", "size", "sig")
-    survivors = ws.table(rows.repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(compare, "tile long, id long, partners array<long>"), "survivors")
+    survivors = ws.table(rows.repartition(tasks, "tile").sortWithinPartitions("tile", "id").mapInArrow(compare, "tile long, id long, partners array<long>"), "survivors")
     rows = survivors.join(payloads, "id").select("tile", "id", "partners", "payload")
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(verify, "src long, dst long")
+    return rows.repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(verify, "src long, dst long")
