@@ -26,19 +26,26 @@ def age_in_text(text: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(text), r"(\d+(?:\.\d+)?)\s*kya", 1), F.lit("")).cast("double")
 
 
+# Phrases of the intents, in the order in which they are tried.
+INTENTS = {
+    "seeding": ["seed", "top 100 taxa", "similar to core", "what taxa would i need"],
+    "functional": ["functional capabilities", "what are the top functional", "how might they work"],
+    "transition": ["glacial", "interglacial", "transition"],
+}
+
+
 def intent(text: Column) -> Column:
-    q = F.lower(text)
-    has = lambda *parts: F.lit(False) if not parts else F.greatest(*[F.instr(q, p) for p in parts], F.lit(0)) > 0
-    return (
-        F.when(has("seed", "inocul"), "seeding")
-        .when(has("function", "metabol", "pathway"), "functional")
-        .when(has("transition", "shift", "glacial"), "transition")
-        .otherwise("general")
-    )
+    """The first intent one of whose phrases the lower-cased text holds, else ``general``."""
+    q, out = F.lower(text), None
+    for name, phrases in INTENTS.items():
+        held = F.greatest(*[F.instr(q, p) for p in phrases], F.lit(0)) > 0
+        out = F.when(held, name) if out is None else out.when(held, name)
+    return out.otherwise("general")
 
 
 def truncate(text: Column, n: int) -> Column:
-    return F.when(F.char_length(text) > n, F.concat(F.substring(text, 1, n - 1), F.lit("…"))).otherwise(text)
+    """A null text becomes an empty one."""
+    return F.when(F.char_length(text) > n, F.concat(F.substring(text, 1, n - 1), F.lit("…"))).otherwise(F.coalesce(text, F.lit("")))
 
 
 def prevalence_label(threshold: Column) -> Column:
@@ -83,6 +90,10 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def euclidean(a: str, b: str) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
 def cosine(a: str, b: str) -> Column:
     return dot(a, b) / F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(1e-12))
 

@@ -21,7 +21,8 @@ def aggregate_records(records: DataFrame) -> DataFrame:
     return records.groupBy("taxon", "label").agg(
         F.sum("n_reads").alias("n_reads"),
         F.sum("abundance").alias("abundance"),
-        F.avg("reference_length").alias("reference_length"),
+        # Exact sums of cents, so that the mean does not depend on the order of the rows.
+        (F.sum(F.col("reference_length").cast("decimal(18,2)")).cast("double") / F.count("reference_length")).alias("reference_length"),
         F.count(F.lit(1)).alias("n_records"),
     )
 

@@ -20,7 +20,7 @@ VIEWS = {
       CASE WHEN l_returnflag='R' THEN 'Damaged' ELSE 'Intact' END AS is_dmg, l_quantity AS n_reads, CASE WHEN l_discount>=0.09 THEN l_quantity ELSE 0.0::DOUBLE END AS abundance,
       l_extendedprice AS reference_length FROM lineitem JOIN part ON l_partkey=p_partkey""",
     "taxa": "SELECT DISTINCT p_brand||'/'||p_type AS taxon, p_type AS functional_group, p_brand AS phylum FROM part",
-    "totals": """SELECT taxon, label, sum(n_reads) AS n_reads, sum(abundance) AS abundance, avg(reference_length) AS reference_length, count(*) AS n_records
+    "totals": """SELECT taxon, label, sum(n_reads) AS n_reads, sum(abundance) AS abundance, sum(reference_length::DECIMAL(18,2))::DOUBLE/count(reference_length) AS reference_length, count(*) AS n_records
       FROM records WHERE is_dmg='Damaged' AND label IN (SELECT label FROM meta) GROUP BY ALL""",
     "prevalent": """SELECT threshold, taxon, n_samples FROM (SELECT taxon, count(*) AS n_samples FROM totals WHERE abundance>0 GROUP BY taxon),
       (VALUES (3),(5),(10)) t(threshold) WHERE n_samples>=threshold""",

@@ -448,7 +448,7 @@ def ages(d: Domain):
 
 @query(
     "f05_intent",
-    "SELECT conv_id, turn, CASE WHEN contains(q,'seed') OR contains(q,'inocul') THEN 'seeding' WHEN contains(q,'function') OR contains(q,'metabol') OR contains(q,'pathway') THEN 'functional' WHEN contains(q,'transition') OR contains(q,'shift') OR contains(q,'glacial') THEN 'transition' ELSE 'general' END AS intent FROM (SELECT *, lower(text) q FROM conversations)",
+    "SELECT conv_id, turn, CASE WHEN regexp_matches(q,'seed|top 100 taxa|similar to core|what taxa would i need') THEN 'seeding' WHEN regexp_matches(q,'functional capabilities|what are the top functional|how might they work') THEN 'functional' WHEN regexp_matches(q,'glacial|interglacial|transition') THEN 'transition' ELSE 'general' END AS intent FROM (SELECT *, lower(text) q FROM conversations)",
 )
 def intents(d: Domain):
     return d.table("conversations").select("conv_id", "turn", C.intent(F.col("text")).alias("intent"))
@@ -465,7 +465,7 @@ def join_text(d: Domain):
     return d.table("part").select("p_partkey", F.concat_ws(" ", part("p_name"), part("p_brand")).alias("text"))
 
 
-@query("f08_truncate", "SELECT doc_id, CASE WHEN length(text)>40 THEN substr(text,1,39)||'…' ELSE text END AS short FROM documents")
+@query("f08_truncate", "SELECT doc_id, CASE WHEN length(text)>40 THEN substr(text,1,39)||'…' ELSE coalesce(text,'') END AS short FROM documents")
 def truncated(d: Domain):
     return d.table("documents").select("doc_id", C.truncate(F.col("text"), 40).alias("short"))
 

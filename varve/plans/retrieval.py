@@ -9,18 +9,30 @@ from pyspark.sql import functions as F
 
 from varve.functions.columns import n_rows
 from varve.operators.graphs import degrees
+from varve.operators.staging import Workspace
 from varve.plans.base import query
 from varve.sources.domain import Domain
 
 W = Window.partitionBy
 # English function words that carry no content.
-STOP_WORDS = ["the", "and", "that", "this", "with", "for", "was", "are", "in", "of", "to", "by", "it", "is", "an", "on"]
+STOP_WORDS = (
+    "about above after again against all almost alone along already also although always am among an and another any anyone anything are around as at "
+    "back be because been before behind being below between beyond both but by can cannot could did do does doing done down during each either else enough "
+    "etc even ever every everyone everything few for from further had has have having he hence her here hers herself him himself his how however if in indeed "
+    "into is it its itself just last least less many may me might mine more most much must my myself namely neither never nevertheless next no nobody none nor "
+    "not nothing now of off often on once one only onto or other others otherwise our ours ourselves out over own per perhaps please rather same several she "
+    "should since so some someone something sometimes still such than that the their theirs them themselves then there therefore these they this those though "
+    "through thus to together too toward towards under until up upon us very via was we well were what whatever when whence where whether which while who whole "
+    "whom whose why will with within without would yet you your yours yourself yourselves"
+).split()
+#: Letters, marks, digits and ``_`` of any script, two or more.
+WORD = r"[\p{L}\p{M}\p{N}_]{2,}"
 _STOPS = ",".join(f"'{w}'" for w in STOP_WORDS)
 
 
 def terms(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, term, tf)``: words of two or more word characters and their pairs, lower-cased, without stop words."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(\w\w+)")), lambda w: ~w.isin(STOP_WORDS))
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
     d = docs.select(key, words.alias("w"))
     pairs = F.transform(F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))), lambda x: x)
     both = F.concat("w", F.filter(pairs, lambda x: x.isNotNull()))
@@ -37,32 +49,36 @@ def tf_idf(docs: DataFrame, key: str, text: str) -> DataFrame:
     return raw.select(key, "term", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(W(key)))).alias("weight"))
 
 
-def search(index: DataFrame, wanted: DataFrame, key: str, k: int) -> DataFrame:
-    """The k best documents by dot product with a query vector ``(term, weight)``."""
-    q = wanted.select("term", F.col("weight").alias("q"))
-    scored = index.join(q, "term").groupBy(key).agg(F.round(F.sum(F.col("weight") * F.col("q")), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), key).limit(k)
+def search(index: DataFrame, wanted: DataFrame, key: str, k: int, query_key: str = "query_id") -> DataFrame:
+    """``(query_id, key, score)``: the k best documents by dot product with each query vector ``(query_id, term, weight)``, ties by key."""
+    q = wanted.select(query_key, "term", F.col("weight").alias("q"))
+    scored = index.join(q, "term").groupBy(query_key, key).agg(F.round(F.sum(F.col("weight") * F.col("q")), 6).alias("score"))
+    r = F.row_number().over(W(query_key).orderBy(F.desc("score"), key))
+    return scored.withColumn("r", r).where(F.col("r") <= k).drop("r")
 
 
-_TFIDF = f""", tokens AS (SELECT item_id, list_filter(regexp_extract_all(lower(text),'\\w\\w+'), lambda w: w NOT IN ({_STOPS})) AS w FROM benchmark),
-grams AS (SELECT item_id, unnest(w) AS term FROM tokens UNION ALL SELECT item_id, unnest(list_transform(range(1,len(w)), lambda i: w[i]||' '||w[i+1])) FROM tokens),
-tf AS (SELECT item_id, term, count(*) AS tf FROM grams GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
-raw AS (SELECT item_id, term, tf*(ln((1+(SELECT count(*) FROM benchmark))/(1.0+df))+1) AS x FROM tf JOIN df USING (term)),
-tfidf AS (SELECT item_id, term, x/sqrt(sum(x*x) OVER (PARTITION BY item_id)) AS weight FROM raw)"""
+_TFIDF = f""", tokens AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text),'{WORD}'), lambda w: w NOT IN ({_STOPS})) AS w FROM documents),
+grams AS (SELECT doc_id, unnest(w) AS term FROM tokens UNION ALL SELECT doc_id, unnest(list_transform(range(1,len(w)), lambda i: w[i]||' '||w[i+1])) FROM tokens),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+raw AS (SELECT doc_id, term, tf*(ln((1+(SELECT count(*) FROM documents))/(1.0+df))+1) AS x FROM tf JOIN df USING (term)),
+tfidf AS (SELECT doc_id, term, x/sqrt(sum(x*x) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
 
 
-@query("q02_tf_idf", _TFIDF + " SELECT item_id, term, round(weight,6) AS weight FROM tfidf")
+@query("q02_tf_idf", _TFIDF + " SELECT doc_id, term, round(weight,6) AS weight FROM tfidf")
 def tf_idf_weights(d: Domain):
-    return tf_idf(d.table("benchmark"), "item_id", "text").withColumn("weight", F.round("weight", 6))
+    return tf_idf(d.table("documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
 @query(
     "q03_semantic_search",
-    _TFIDF + " SELECT item_id, round(sum(i.weight*q.weight),6) AS score FROM tfidf i JOIN (SELECT term, weight FROM tfidf WHERE item_id=0) q USING (term) GROUP BY item_id ORDER BY score DESC, item_id LIMIT 10",
+    _TFIDF
+    + """ , s AS (SELECT q.doc_id AS query_id, i.doc_id AS doc_id, round(sum(i.weight*q.weight),6) AS score FROM tfidf i JOIN tfidf q USING (term) WHERE q.doc_id%20=0 GROUP BY ALL)
+    SELECT query_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)<=10""",
 )
 def semantic_search(d: Domain):
-    index = tf_idf(d.table("benchmark"), "item_id", "text")
-    return search(index, index.where("item_id = 0"), "item_id", 10)
+    """Every document whose id is divisible by 20 against all documents."""
+    index = Workspace(d.spark, "search").table(tf_idf(d.table("documents"), "doc_id", "text"), "index")
+    return search(index, index.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), "doc_id", 10)
 
 
 @query(
