@@ -18,11 +18,16 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a temporary one when none is configured (tests, local runs)."""
+    """The cluster's shared folder with its scheme; on a local master a temporary one where none is configured."""
     global _own_dir
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    set_later = sc._jsc.sc().getCheckpointDir()
+    configured = sc.getConf().get("spark.checkpoint.dir", None) or (set_later.get() if set_later.isDefined() and _own_dir is None else None)
     if configured:
-        return configured.rstrip("/")
+        path = sc._jvm.org.apache.hadoop.fs.Path(configured)
+        return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="varve-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
