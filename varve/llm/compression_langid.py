@@ -8,12 +8,12 @@ whose margin over the runner-up is narrow is rejected.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 UNDETERMINED = "und"
 #: Pieces short enough that the dictionary, not the text's own history, carries the matches.
 PIECE_BYTES = 2048
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 RESULT = T.StructType(
     [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
 )
@@ -92,9 +92,10 @@ def fit(
 ) -> CompressionModel:
     """Build one dictionary per language from a bounded sample of the rows where ``train`` holds.
 
-    At most ``texts_per_language`` texts of each of the ``max_languages`` most frequent languages
-    are used, the first by hash of the id, and ``text_bytes`` of each: what reaches the driver is
-    bounded by these parameters. Null languages and texts without a letter are not learned from.
+    At most ``texts_per_language`` whole texts of each of the ``max_languages`` most frequent
+    languages are used, the first by hash of the id among those of at most ``text_bytes`` bytes; a
+    language that has only longer texts is learned from one of them. Null languages and texts
+    without a letter are not learned from. An empty table gives a model that answers ``und``.
     """
     rows = docs.where(train & F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).select(
         F.col(doc_id).alias("id_"), F.col(lang).cast("string").alias("lang_"), F.col(text).alias("text_")
@@ -102,15 +103,15 @@ def fit(
     rows = rows.where(F.regexp_like("text_", F.lit(r"\p{L}")))
     common = rows.groupBy("lang_").count().orderBy(F.desc("count"), "lang_").limit(max_languages).select("lang_")
     # The rank limit is pushed below the shuffle, so each task sends at most texts_per_language rows of a language.
-    first = F.row_number().over(Window.partitionBy("lang_").orderBy(F.xxhash64("id_"), "id_"))
+    long = F.octet_length("text_") > text_bytes
+    first = F.row_number().over(Window.partitionBy("lang_").orderBy(long, F.xxhash64("id_"), "id_"))
     sample = (
-        rows.select("lang_", "id_", F.substring("text_", 1, text_bytes).alias("text_"))
-        .withColumn("n_", first)
-        .where(F.col("n_") <= texts_per_language)
+        rows.withColumn("n_", first)
+        .where((F.col("n_") <= texts_per_language) & (~long | (F.col("n_") == 1)))
         .join(F.broadcast(common), "lang_", "left_semi")
         .collect()
     )
     content: dict[str, bytes] = {}
     for row in sorted(sample, key=lambda r: (r["lang_"], -r["n_"])):
-        content[row["lang_"]] = content.get(row["lang_"], b"") + row["text_"].lower().encode()[:text_bytes] + b"\n"
+        content[row["lang_"]] = content.get(row["lang_"], b"") + row["text_"].lower().encode() + b"\n"
     return CompressionModel(content, **options)

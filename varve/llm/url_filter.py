@@ -51,7 +51,7 @@ def _split_rule(rule: str) -> tuple[str, str]:
 
 
 def match_rules(urls: DataFrame, rules: list[tuple[str, str]], host: str = "host", path: str = "path") -> DataFrame:
-    """Add ``rule`` and ``rule_action``: the longest rule that fits, allow before block at equal length, null if none.
+    """Add ``rule`` and ``rule_action``: the longest rule that fits, at equal length allow before block and then the first by name, null if none.
 
     ``rules`` are ``(action, "host/prefix")``; a rule fits its host and all subdomains.
     """
@@ -80,7 +80,7 @@ def match_rules(urls: DataFrame, rules: list[tuple[str, str]], host: str = "host
         .join(table, "rule_host")
         .where(F.expr("startswith(p_, prefix)"))
         .groupBy("h_", "p_")
-        .agg(F.max_by(F.struct("rule", "rule_action"), F.struct("weight", "rule")).alias("best"))
+        .agg(F.min_by(F.struct("rule", "rule_action"), F.struct(-F.col("weight"), "rule")).alias("best"))
         .select("h_", "p_", "best.*")
     )
     return urls.join(best, (F.col(host) == F.col("h_")) & (F.col(path) == F.col("p_")), "left").drop("h_", "p_")
@@ -93,7 +93,7 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         html, r"(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*([^\"'\s>]+)", 1
     )
     found = pages.select(F.col(url).alias("url"), F.array(link, refresh).alias("to")).select("url", F.explode("to").alias("to"))
-    found = found.where("to <> '' and url is not null")
+    found = found.where("to <> '' and url is not null").withColumn("to", F.replace("to", F.lit("&amp;"), F.lit("&")))
     base = F.regexp_extract("url", r"^([^?#]*/)", 1)
     origin = F.concat(F.substring_index("url", "://", 1), F.lit("://"), F.regexp_extract(_rest(F.col("url")), r"^([^/?#]*)", 1))
     target = (
@@ -102,10 +102,25 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         .when(F.col("to").startswith("/"), F.concat(origin, F.col("to")))
         .otherwise(F.concat(base, F.col("to")))
     )
-    edges = found.select(url_node(F.col("url")).alias("src"), url_node(target).alias("dst"))
+    edges = found.select(url_node(F.col("url")).alias("src"), url_node(_without_dots(target)).alias("dst"))
     return edges.where("src is not null and dst is not null and src <> dst").distinct()
 
 
+def _without_dots(url: Column) -> Column:
+    """The URL with the steps ``.`` and ``..`` of its path taken."""
+    path = url_path(url)
+    steps = F.split(path, "/")
+    walked = F.aggregate(
+        steps,
+        F.array().cast("array<string>"),
+        lambda done, step: F.when(step == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).when(step == ".", done).otherwise(F.array_append(done, step)),
+    )
+    clean = F.concat(F.array_join(walked, "/"), F.when(F.element_at(steps, -1).isin(".", ".."), "/").otherwise(""))
+    before = F.regexp_extract(url, r"^([^?#]*?://[^/?#]*)", 1)
+    after = F.regexp_extract(url, r"^[^?#]*(.*)$", 1)
+    return F.when(F.regexp_like(path, F.lit(r"/\.\.?(/|$)")), F.concat(before, clean, after)).otherwise(url)
+
+
 def alias_edges(urls: DataFrame, url: str = "url") -> DataFrame:
     """``(src, dst)`` from web addresses to the form their sites redirect to.
 
@@ -122,11 +137,14 @@ def alias_edges(urls: DataFrame, url: str = "url") -> DataFrame:
     return edges.where(F.regexp_like("src", F.lit("^https?://")) & (F.col("src") != F.col("dst"))).distinct()
 
 
-def equivalence_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Links found in the pages, and the alias edges of their addresses and targets."""
+def equivalence_edges(pages: DataFrame, url: str = "url", html: str = "html", redirects: DataFrame | None = None, aliases: bool = True) -> DataFrame:
+    """Links found in the pages, observed ``redirects`` ``(from_url, to_url)`` if given, and, with ``aliases``, the alias edges of all of them."""
     linked = page_edges(pages, url, html)
+    if redirects is not None:
+        seen = redirects.select(url_node(F.col("from_url")).alias("src"), url_node(F.col("to_url")).alias("dst"))
+        linked = linked.union(seen.where("src is not null and dst is not null and src <> dst"))
     known = pages.select(F.col(url).alias("url")).union(linked.select("dst"))
-    return linked.union(alias_edges(known))
+    return linked.union(alias_edges(known)) if aliases else linked
 
 
 def judge_urls(
