@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from varve.llm.batches import sized_slices
 from varve.llm.membership import Bitmap
-from varve.llm.minhash import NODE_SCHEMA, Banding, flat_signatures, node_columns, similar_components
+from varve.llm.minhash import NODE_SCHEMA, Banding, flat_signatures, similar_components
 from varve.operators.staging import Workspace
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -29,7 +29,10 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class LineDedup(Banding):
-    """10 bands of 3 hashes miss a pair at exactly 80 % similarity with probability 8e-4, at 90 % with 2e-6.
+    """12 bands of 4 hashes miss a pair at exactly 80 % similarity with probability 2e-3, at 90 % with 3e-6.
+
+    Bands of 3 would need fewer of them, but lines that share a few words by chance meet in them, and
+    such meetings grow with the square of the number of lines.
 
     ``shingle`` is in characters; lines shorter than ``min_chars`` are compared with no other line.
     With ``exact_all`` equal lines are linked at any length, if they hold more than white space;
@@ -38,9 +41,9 @@ class LineDedup(Banding):
     are compared in every step that holds both. Without steps all lines have the same shingle.
     """
 
-    bands: int = 10
-    rows: int = 3
-    batch: int = 15
+    bands: int = 12
+    rows: int = 4
+    batch: int = 12
     shingle: int = 9
     min_chars: int = 25
     tile_shingles: int = 200_000
@@ -61,9 +64,11 @@ WHOLE = LineDedup(exact_all=True, steps=((3, 25, 64), (5, 49, 180), (9, 140, 2**
 
 
 def _rolling(codes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all windows of k codes; windows are put together from windows of powers of two."""
-    power = codes * _MIX
-    power ^= power >> np.uint64(31)
+    """Hashes of all windows of k codes, as wide as the codes; windows are put together from windows of powers of two."""
+    kind = codes.dtype.type
+    mix, half = kind(0x9E3779B97F4A7C15 >> (64 - 8 * codes.itemsize) | 1), 4 * codes.itemsize
+    power = codes * mix
+    power ^= power >> kind(half - 1)
     out, width, span = None, 0, 1
     while True:
         if k & span:
@@ -71,18 +76,18 @@ def _rolling(codes: np.ndarray, k: int) -> np.ndarray:
                 out, width = power, span
             else:
                 n = len(codes) - width - span + 1
-                out = (out[:n] * _MIX) ^ power[width : width + n]
+                out = (out[:n] * mix) ^ power[width : width + n]
                 width += span
         if width == k:
             break
-        power = (power[: len(power) - span] * _MIX) ^ power[span:]
-        power ^= power >> np.uint64(29)
+        power = (power[: len(power) - span] * mix) ^ power[span:]
+        power ^= power >> kind(half - 3)
         span *= 2
-    out = (out ^ (out >> np.uint64(32))) * _MIX
-    return out ^ (out >> np.uint64(29))
+    out = (out ^ (out >> kind(half))) * mix
+    return out ^ (out >> kind(half - 3))
 
 
-def shingle_hashes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(lines: list[str], k: int, kind: type = np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-character shingles of all lines one after another, repeats included, and their number per line.
 
     A line of fewer characters is padded to one shingle, an empty line has none.
@@ -90,9 +95,9 @@ def shingle_hashes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     padded = [line if len(line) >= k or not line else line + "\0" * (k - len(line)) for line in lines]
     lengths = np.fromiter(map(len, padded), dtype=np.int64, count=len(padded))
     counts = np.maximum(lengths - k + 1, 0)
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(kind, copy=False)
     if not counts.any():
-        return np.zeros(0, dtype=np.uint64), counts
+        return np.zeros(0, dtype=kind), counts
     inside = np.ones(len(codes), dtype=bool)
     for back in range(1, k):  # windows that start in the last k - 1 characters of a line leave it
         inside[np.cumsum(lengths)[lengths >= k] - back] = False
@@ -147,7 +152,7 @@ def mark_duplicates(docs: DataFrame, params: LineDedup = LineDedup(), doc_id: st
             lines, rows, numbers = lines_of(batch)
             ids, checks = _hashes(lines)
             places = [pa.array(ids), pa.array(checks), batch.column("doc").take(pa.array(rows)), pa.array(numbers, pa.int32())]
-            yield _rows(places, [None] * 4, len(ids))
+            yield _rows(places, [None] * 3, len(ids))
             if len(recent) > 1_000_000:
                 recent.clear()
             seen, at = np.unique(ids, return_index=True)
@@ -158,13 +163,14 @@ def mark_duplicates(docs: DataFrame, params: LineDedup = LineDedup(), doc_id: st
                 fresh = at[(lengths[at] >= least) & (lengths[at] <= most)]
                 for i in range(0, len(fresh), 1024):
                     some = fresh[i : i + 1024]
-                    hashes, counts = shingle_hashes(lines.take(pa.array(some)).to_pylist(), k)
-                    node = [pa.array(ids[some] | step), pa.array(counts), *node_columns(p, flat_signatures(hashes, counts, p.hashes))]
+                    hashes, counts = shingle_hashes(lines.take(pa.array(some)).to_pylist(), k, np.uint32)
+                    sig = flat_signatures(hashes, counts, p.hashes)
+                    node = [pa.array(ids[some] | step), pa.array(counts), pa.array([r.tobytes() for r in sig], pa.binary())]
                     yield _rows([None] * 4, node, len(some))
 
     signed = ws.table(base.mapInArrow(sign, f"line long, check long, doc long, line_no int, {NODE_SCHEMA}"), "signed")
     places = signed.where("doc is not null").select("line", "check", "doc", "line_no")
-    nodes = signed.where("id is not null").select("id", "size", "sig", "keys")
+    nodes = signed.where("id is not null").select("id", "size", "sig")
 
     def payloads(candidates: DataFrame) -> DataFrame:
         """The candidates' lines; other lines are dropped where they are read."""
@@ -220,9 +226,9 @@ def _hashes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(place: list, node: list, n: int) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     columns = [pa.nulls(n, t) if c is None else c for c, t in zip([*place, *node], kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, names=["line", "check", "doc", "line_no", "id", "size", "sig", "keys"])
+    return pa.RecordBatch.from_arrays(columns, names=["line", "check", "doc", "line_no", "id", "size", "sig"])
 
 
 @F.pandas_udf(T.StringType())
@@ -265,7 +271,7 @@ def summary(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id", text: s
     Rows with the same id share their list of dropped lines. Null texts have no lines.
     """
     numbers = dropped.groupBy(F.col("doc_id").alias("d_")).agg(F.array_sort(F.collect_set("line_no")).alias("dropped_lines"))
-    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n")))
+    n = F.when(F.col(text).isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)
     counted = docs.select(F.col(doc_id).alias("doc_id"), n.cast("long").alias("n_lines"))
     out = counted.join(numbers, F.col("doc_id") == F.col("d_"), "left").drop("d_")
     out = out.withColumn("dropped_lines", F.coalesce("dropped_lines", F.array().cast("array<int>")))

@@ -7,17 +7,12 @@ join that follows decides alone. Results never depend on it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: 32 MB at most.
-MAX_BITS = 1 << 28
-_PAGE = 1 << 15
+#: 16 MB at most.
+MAX_BITS = 1 << 27
 #: Low bits that hold no hash (band or step numbers).
 _SKIP = 5
 
@@ -26,32 +21,17 @@ class Bitmap:
     """Where bits are set for the values of a long column whose upper 59 bits are well mixed."""
 
     def __init__(self, values: DataFrame, column: str, bits_each: int = 64):
-        wanted = max(values.count() * bits_each, _PAGE)
+        wanted = max(values.count() * bits_each, 1 << 15)
         self.bits = min(1 << (wanted - 1).bit_length(), MAX_BITS)
-        slot = F.shiftrightunsigned(column, _SKIP).bitwiseAND(F.lit(self.bits - 1)) + 1
-        pages = values.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("page"))
-        pages = pages.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("set"))
-        data = np.zeros(self.bits >> 3, dtype=np.uint8)
-        for row in pages.toLocalIterator():
-            at = (row["page"] - 1) * (_PAGE >> 3)
-            data[at : at + len(row["set"])] = np.frombuffer(row["set"], dtype=np.uint8)
+        slot = F.shiftrightunsigned(column, _SKIP).bitwiseAND(F.lit(self.bits - 1))
+        words = values.select(slot.alias("slot")).select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
+        found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        data = np.zeros(self.bits >> 6, dtype=np.int64)
+        data[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+        data = data.astype("<i8", copy=False).view(np.uint8)
         self.data = values.sparkSession.sparkContext.broadcast(data)
 
     def passes(self, values: np.ndarray) -> np.ndarray:
         """True where a value may be a member; never false for a member."""
         slot = (values.view(np.uint64) >> np.uint64(_SKIP)) & np.uint64(self.bits - 1)
         return (self.data.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-    def rows_with_key(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For ``mapInArrow``: the rows that have a member in their column ``keys``, with those keys only."""
-        for batch in batches:
-            keys = batch.column("keys")
-            hit = self.passes(keys.flatten().to_numpy())
-            before = np.concatenate([[0], np.cumsum(hit)])
-            ends = keys.offsets.to_numpy() - keys.offsets[0].as_py()
-            counts = before[ends[1:]] - before[ends[:-1]]
-            rows = pa.array(counts > 0)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts[counts > 0])]).astype(np.int32))
-            fewer = pa.ListArray.from_arrays(offsets, pc.filter(keys.flatten(), pa.array(hit)))
-            kept = batch.filter(rows)
-            yield pa.RecordBatch.from_arrays([fewer if n == "keys" else kept.column(n) for n in batch.schema.names], names=batch.schema.names)

@@ -24,7 +24,9 @@ from varve.operators.staging import Workspace
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-NODE_SCHEMA = "id long, size long, sig binary, keys array<long>"
+#: Bucket keys in a range of them, which one task looks through.
+PART_KEYS = 1 << 21
+NODE_SCHEMA = "id long, size long, sig binary"
 
 
 @dataclass(frozen=True)
@@ -84,7 +86,7 @@ def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
 
 
 def flat_signatures(members: np.ndarray, sizes: np.ndarray, hashes: int) -> np.ndarray:
-    """:func:`signatures` of sets that lie one after another in ``members``."""
+    """:func:`signatures` of sets that lie one after another in ``members``, of 64 or 32 bits each."""
     rng = np.random.default_rng(20240229)
     a = rng.integers(0, 2**31, hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     c = rng.integers(0, 2**32, hashes, dtype=np.uint32)
@@ -92,7 +94,8 @@ def flat_signatures(members: np.ndarray, sizes: np.ndarray, hashes: int) -> np.n
     full = np.flatnonzero(sizes)
     ends = np.cumsum(sizes[full])
     begins = ends - sizes[full]
-    folded = (members >> np.uint64(32)).astype(np.uint32)  # members are well mixed; 32 bits order them
+    # Members are well mixed; 32 bits order them.
+    folded = members if members.dtype == np.uint32 else (members >> np.uint64(32)).astype(np.uint32)
     first = 0
     while first < len(full):
         # As many sets at a time as stay in the processor's cache.
@@ -108,13 +111,6 @@ def flat_signatures(members: np.ndarray, sizes: np.ndarray, hashes: int) -> np.n
     return out
 
 
-def node_columns(p: Banding, sig: np.ndarray) -> list[pa.Array]:
-    """The columns ``sig`` and ``keys`` of NODE_SCHEMA for a block of signatures."""
-    data = pa.array([r.tobytes() for r in sig], pa.binary())
-    offsets = pa.array(np.arange(len(sig) + 1, dtype=np.int32) * np.int32(p.bands))
-    return [data, pa.ListArray.from_arrays(offsets, pa.array(p.keys(sig).ravel(), pa.int64()))]
-
-
 def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The sorted input in tables that never cut a tile."""
     held: list[pa.RecordBatch] = []
@@ -135,10 +131,27 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _binary_matrix(column: pa.ChunkedArray, dtype: str, width: int) -> np.ndarray:
+def _binary_matrix(column: pa.Array | pa.ChunkedArray, dtype: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(-1, width)
 
 
+def _extremes(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys, and the smallest and largest id of each."""
+    if not len(keys):
+        return keys, ids, ids
+    order = np.argsort(keys, kind="stable")
+    keys, ids = keys[order], ids[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], np.minimum.reduceat(ids, starts), np.maximum.reduceat(ids, starts)
+
+
+def _top(parents: dict[int, int], node: int) -> int:
+    while (up := parents[node]) != node:
+        parents[node] = parents[up]
+        node = up
+    return node
+
+
 def tile_pairs(tile: np.ndarray, side: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers of the pairs to compare, about ``most`` at a time: side 0 meets side 1, side 2 meets itself."""
     starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
@@ -203,11 +216,44 @@ def similar_components(
     sorted arrays of distinct hashes. ``item`` gives the item a node belongs to, if items have
     several nodes. ``ties`` has further links ``(src, dst)`` between items.
     """
+    parts = max(int(ws.spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * p.bands // PART_KEYS))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of keys and of ids, one for each range of keys; of a key that a batch has several times only the extremes."""
+        for batch in batches:
+            keys = p.keys(_binary_matrix(batch.column("sig"), "<u2", p.hashes)).ravel()
+            found, low, high = _extremes(keys, np.repeat(batch.column("id").to_numpy(), p.bands))
+            counts = 1 + (low < high)
+            keys, ids = np.repeat(found, counts), np.repeat(low, counts)
+            ids[np.cumsum(counts) - 1] = high
+            part = ((keys >> np.int64(32)) + np.int64(1 << 31)) * np.int64(parts) >> np.int64(32)
+            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, dtype=np.int64)
+            offsets = pa.array(np.concatenate([cuts, [len(part)]]).astype(np.int32) * np.int32(8)).buffers()[1]
+            blocks = [pa.Array.from_buffers(pa.binary(), len(cuts), [None, offsets, pa.py_buffer(x.tobytes())]) for x in (keys, ids)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), *blocks], names=["part", "keys", "ids"])
+
+    def crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [[b"".join(b.column(c).to_pylist()) for c in ("keys", "ids")] for b in batches]
+        if blocks:
+            found, low, high = _extremes(*(np.frombuffer(b"".join(x), dtype=np.int64) for x in zip(*blocks)))
+            two = low < high
+            yield pa.RecordBatch.from_arrays([pa.array(found[two]), pa.array(low[two])], names=["key", "leader"])
+
     # A bucket is crowded if it has two different members. Only rows that may have a crowded key are read on.
-    placed = nodes.select("id", F.explode("keys").alias("key"))
-    crowded = placed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
-    crowded = ws.table(crowded.select("key", "leader"), "crowded")
-    met = ws.table(nodes.select("id", "size", "sig", "keys").mapInArrow(Bitmap(crowded, "key").rows_with_key, NODE_SCHEMA), "met")
+    placed = nodes.select("id", "sig").mapInArrow(place, "part long, keys binary, ids binary").repartition(parts, "part")
+    crowded = ws.table(placed.mapInArrow(crowds, "key long, leader long"), "crowded")
+    known = Bitmap(crowded, "key")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = p.keys(_binary_matrix(batch.column("sig"), "<u2", p.hashes))
+            hit = known.passes(keys.ravel()).reshape(keys.shape)
+            some = hit.any(1)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(hit[some].sum(1))]).astype(np.int32))
+            rows = batch.filter(pa.array(some))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(offsets, pa.array(keys[hit]))], names=[*rows.schema.names, "keys"])
+
+    met = ws.table(nodes.select("id", "size", "sig").mapInArrow(meet, f"{NODE_SCHEMA}, keys array<long>"), "met")
     buckets = met.select("id", "size", F.explode("keys").alias("key")).join(crowded, "key").distinct()
     buckets = ws.table(buckets.withColumn("band", F.pmod("key", F.lit(32)).cast("int")), "buckets")
     reps = met.join(buckets.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "size", "sig")
@@ -261,7 +307,7 @@ def similar_components(
 
 
 def _link(ws: Workspace, p: Banding, tiles: DataFrame, reps: DataFrame, payloads: DataFrame, to_sets: Callable) -> DataFrame:
-    """Verified links ``(src, dst)`` among the rows of each tile: sequential pruning, then exact comparison."""
+    """Verified links ``(src, dst)`` among the rows of each tile, enough to join what is linked: sequential pruning, then exact comparison."""
     least = p.least_matches()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,13 +340,18 @@ def _link(ws: Workspace, p: Banding, tiles: DataFrame, reps: DataFrame, payloads
                 part = t.slice(cuts[first], cuts[last] - cuts[first])
                 ids = part.column("id").to_pylist()
                 sets = dict(zip(ids, to_sets(part.column("payload").to_pylist()), strict=True))
+                known = {a: a for a in ids}  # pairs that links of these rows already join need no check
                 for a, partners in zip(ids, part.column("partners").to_pylist(), strict=True):
                     for b in partners:
+                        top_a, top_b = _top(known, a), _top(known, b)
+                        if top_a == top_b:
+                            continue
                         x, y = sets[a], sets[b]
                         both = len(np.intersect1d(x, y, assume_unique=True))
                         if 100 * both >= p.percent * (len(x) + len(y) - both):
                             src.append(a)
                             dst.append(b)
+                            known[top_a] = top_b
                 first = last
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from varve.llm.batches import slices
 from varve.llm.membership import Bitmap
-from varve.llm.minhash import Banding, node_columns, signatures, similar_components
+from varve.llm.minhash import Banding, signatures, similar_components
 from varve.operators.staging import Workspace
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -73,9 +73,9 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup(), doc_id: st
             sets = [shingle_set(t, p.shingle) for t in tokens]
             sig = signatures(sets, p.hashes)
             columns = [batch.column(0), pa.array([_copy_of(t) for t in tokens], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, *node_columns(p, sig)], names=["id", "copy", "size", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([r.tobytes() for r in sig], pa.binary())], names=["id", "copy", "size", "sig"])
 
-    signed = ws.table(base.mapInArrow(sign, "id long, copy binary, size long, sig binary, keys array<long>"), "signatures")
+    signed = ws.table(base.mapInArrow(sign, "id long, copy binary, size long, sig binary"), "signatures")
     usable = signed.where("id is not null and size > 0")
     # A node stands for all exact copies of a text. It is numbered like the smallest id that has the text;
     # where that id has several texts, all but one of them get a number from a hash above all ids.
@@ -93,7 +93,7 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup(), doc_id: st
     several = members.groupBy("id").agg(F.min("node").alias("src"), F.max("node").alias("high")).where("src < high")
     ties = members.join(several.select("id", "src"), "id").where("node <> src").select("src", F.col("node").alias("dst"))
     first_rows = firsts.select("copy", F.col("rep").alias("id"), "node")
-    nodes = usable.join(first_rows, ["copy", "id"]).select(F.col("node").alias("id"), "size", "sig", "keys")
+    nodes = usable.join(first_rows, ["copy", "id"]).select(F.col("node").alias("id"), "size", "sig")
 
     def payloads(candidates: DataFrame) -> DataFrame:
         """Sets of the candidates' texts; texts of other ids are dropped where they are read."""
