@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -148,12 +149,12 @@ def mark_duplicates(docs: DataFrame, params: LineDedup = LineDedup(), doc_id: st
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row with ``doc`` for every line, and one with ``id`` for each way in which a line is compared."""
         recent: set[int] = set()  # lines this task has signed; others may sign them again
-        for batch in sized_slices(batches, 1024, 1 << 23):
+        for batch in sized_slices(batches, 1024, 1 << 22):
             lines, rows, numbers = lines_of(batch)
             ids, checks = _hashes(lines)
             places = [pa.array(ids), pa.array(checks), batch.column("doc").take(pa.array(rows)), pa.array(numbers, pa.int32())]
             yield _rows(places, [None] * 3, len(ids))
-            if len(recent) > 1_000_000:
+            if len(recent) > _REMEMBERED:
                 recent.clear()
             seen, at = np.unique(ids, return_index=True)
             at = np.sort(at[[i not in recent for i in seen.tolist()]])
@@ -179,13 +180,13 @@ def mark_duplicates(docs: DataFrame, params: LineDedup = LineDedup(), doc_id: st
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             recent: set[int] = set()
-            for batch in sized_slices(batches, 1024, 1 << 23):
+            for batch in sized_slices(batches, 1024, 1 << 22):
                 lines = lines_of(batch)[0]
-                ids, _ = _hashes(lines)
+                ids = _ids(lines.cast(pa.binary()).to_pylist())
                 ids, first = np.unique(ids, return_index=True)
                 few = known.passes(ids)
                 few[few] = [i not in recent for i in ids[few].tolist()]
-                if len(recent) > 1_000_000:
+                if len(recent) > _REMEMBERED:
                     recent.clear()
                 recent.update(ids[few].tolist())
                 data = lines.take(pa.array(first[few])).cast(pa.binary())
@@ -208,21 +209,28 @@ def mark_duplicates(docs: DataFrame, params: LineDedup = LineDedup(), doc_id: st
     counted = places.groupBy("line", "check").agg(F.count(F.lit(1)).alias("n"))
     grouped = counted.join(linked.withColumnRenamed("node", "line"), "line", "left").where("n > 1 or component is not null")
     grouped = grouped.select("line", "check", F.coalesce("component", "line").alias("component"), F.when(F.col("component").isNull(), F.col("check")).otherwise(F.lit(0)).alias("own"))
-    held = ws.table(places.join(ws.table(grouped, "grouped"), ["line", "check"]), "held")
+    held = ws.table(places.join(grouped, ["line", "check"]), "held")
     keep = held.groupBy("component", "own").agg(F.min(F.struct("doc", "line_no")).alias("keep"), F.count(F.lit(1)).alias("total")).where("total > 1")
-    dropped = held.join(ws.table(keep, "keep"), ["component", "own"]).where("doc <> keep.doc or line_no <> keep.line_no")
+    dropped = held.join(keep, ["component", "own"]).where("doc <> keep.doc or line_no <> keep.line_no")
     return ws.table(dropped.select(F.col("doc").alias("doc_id"), "line_no", "check").distinct(), "dropped")
 
 
 #: The low bits of a node's id, in which it differs from the id of its line: the place of its shingle length in the ladder.
 _STEP = 3
+#: Lines a task remembers having met.
+_REMEMBERED = 100_000
 
 
 def _hashes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of every line: one with the low bits of ``_STEP`` clear, and Spark's ``xxhash64``."""
     data = lines.cast(pa.binary()).to_pylist()
-    ids = np.fromiter(map(xxhash.xxh3_64_intdigest, data), dtype=np.uint64, count=len(data)) & np.uint64(~_STEP & (1 << 64) - 1)
-    return ids.view(np.int64), np.fromiter((xxhash.xxh64_intdigest(d, 42) for d in data), dtype=np.uint64, count=len(data)).view(np.int64)
+    checks = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), data), dtype=np.uint64, count=len(data))
+    return _ids(data), checks.view(np.int64)
+
+
+def _ids(data: list[bytes]) -> np.ndarray:
+    ids = np.fromiter(map(xxhash.xxh3_64_intdigest, data), dtype=np.uint64, count=len(data))
+    return (ids & np.uint64(~_STEP & (1 << 64) - 1)).view(np.int64)
 
 
 def _rows(place: list, node: list, n: int) -> pa.RecordBatch:

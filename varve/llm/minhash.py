@@ -25,7 +25,7 @@ from varve.operators.staging import Workspace
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bucket keys in a range of them, which one task looks through.
-PART_KEYS = 1 << 21
+PART_KEYS = 1 << 19
 NODE_SCHEMA = "id long, size long, sig binary"
 
 
@@ -347,7 +347,9 @@ def _link(ws: Workspace, p: Banding, tiles: DataFrame, reps: DataFrame, payloads
                         if top_a == top_b:
                             continue
                         x, y = sets[a], sets[b]
-                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        merged = np.concatenate([x, y])
+                        merged.sort(kind="stable")
+                        both = np.count_nonzero(merged[1:] == merged[:-1])
                         if 100 * both >= p.percent * (len(x) + len(y) - both):
                             src.append(a)
                             dst.append(b)
