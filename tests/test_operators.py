@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from varve.operators.components import connected_components
 from varve.operators.graphs import aracne, page_rank, path_measures
+from varve.plans.statistics_queries import exponential_gls
 
 EDGES = "core string, src string, dst string, signed_weight double, weight double"
 
@@ -34,3 +37,25 @@ def test_page_rank_sums_to_one(spark):
     e = spark.createDataFrame([("c", "a", "b", 0.5, 0.5), ("c", "b", "d", 0.5, 0.5)], EDGES)
     got = {r.taxon: r.rank for r in page_rank(e).collect()}
     assert math.isclose(sum(got.values()), 1.0) and got["b"] > got["a"] == got["d"]
+
+
+def test_gls_equals_one_fit_over_all_cores(spark):
+    """The stacked model with a column per core and block-diagonal errors, at the phi that was chosen and at all others."""
+    rng = np.random.default_rng(3)
+    rows = [("t", c, float(x), float(0.5 * x + k + e), float(a)) for k, c in enumerate("ABC") for a, (x, e) in enumerate(rng.normal(size=(9, 2)))]
+    rows += [("flat", "A", 1.0, float(a), float(a)) for a in range(6)] + [("one", "A", 1.0, 2.0, 3.0), ("t", "A", None, 1.0, 1.0)]
+    found = {r["taxon"]: r for r in exponential_gls(spark.createDataFrame(rows, "taxon string, core string, x double, y double, age double")).collect()}
+    assert found["flat"]["slope"] is None and found["one"]["slope"] is None and found["one"]["n"] == 1
+    used = [r for r in rows if r[0] == "t" and r[2] is not None]
+    core, x, y, age = (np.array([r[i] for r in used]) for i in (1, 2, 3, 4))
+    design = np.column_stack([x, *[(core == c).astype(float) for c in "ABC"]])
+    fits = []
+    for phi in np.linspace(0, 0.95, 20):
+        v = np.where(core[:, None] == core[None, :], np.power(phi, np.abs(age[:, None] - age[None, :])), 0.0) + 1e-8 * np.eye(len(x))
+        inverse = np.linalg.inv(v)
+        cov = np.linalg.inv(design.T @ inverse @ design)
+        beta = cov @ design.T @ inverse @ y
+        rss = (y - design @ beta) @ inverse @ (y - design @ beta)
+        fits.append((-len(x) / 2 * np.log(rss) - np.linalg.slogdet(v)[1] / 2, phi, beta[0], np.sqrt(rss / (len(x) - 4) * cov[0, 0])))
+    _, phi, slope, se = max(fits)
+    assert np.allclose([found["t"][k] for k in ("phi", "slope", "se", "t")], [phi, slope, se, slope / se], rtol=1e-5)

@@ -101,32 +101,45 @@ def variance_by_core(d: Domain):
     return groups.agg(F.round(1 - F.sum("ss") / (F.sum("ss") + between), 6).alias("r2"))
 
 
-def exponential_gls(pdf: pd.DataFrame) -> pd.DataFrame:
-    """y ~ x with errors correlated as phi^|age difference|; phi by profile likelihood on a grid. Null estimates below 4 rows or without variance."""
-    key, n = pdf["taxon"].iloc[0], len(pdf)
+_PHIS = np.linspace(0, 0.95, 20)
+
+
+def _gls_terms(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Per phi the sums of squares and products of one taxon and core, whitened by phi^|age difference| and freed of the core's mean."""
+    taxon, n = pdf["taxon"].iloc[0], len(pdf)
     y, x, age = (pdf[c].to_numpy(float) for c in ("y", "x", "age"))
-    if n < 4 or np.ptp(x) == 0 or np.ptp(y) == 0:
-        return pd.DataFrame([(key, n, None, None, None, None)], columns=["taxon", "n", "phi", "slope", "se", "t"])
-    design, best = np.column_stack([np.ones(n), x]), None
-    for phi in np.linspace(0, 0.95, 20):
-        v = np.power(phi, np.abs(age[:, None] - age[None, :])) if phi else np.eye(n)
+    far, rows = np.abs(age[:, None] - age[None, :]), []
+    for phi in _PHIS:
+        v = np.power(phi, far) if phi else np.eye(n)
         low = np.linalg.cholesky(v + 1e-8 * np.eye(n))
-        a, b = np.linalg.solve(low, design), np.linalg.solve(low, y)
-        cov = np.linalg.inv(a.T @ a)
-        beta = cov @ a.T @ b
-        rss = ((b - a @ beta) ** 2).sum()
-        fit = -n / 2 * math.log(max(rss, 1e-300)) - np.log(np.diag(low)).sum()
-        if best is None or fit > best[0]:
-            se = math.sqrt(max(rss, 0) / (n - 2) * cov[1, 1])
-            best = (fit, phi, beta[1], se)
-    _, phi, slope, se = best
-    return pd.DataFrame([(key, n, phi, slope, se, slope / se if se else None)], columns=["taxon", "n", "phi", "slope", "se", "t"])
+        one, a, b = np.linalg.solve(low, np.column_stack([np.ones(n), x, y])).T
+        a, b = a - one * (one @ a) / (one @ one), b - one * (one @ b) / (one @ one)
+        rows.append((taxon, phi, n, a @ a, a @ b, b @ b, np.log(np.diag(low)).sum()))
+    return pd.DataFrame(rows, columns=["taxon", "phi", "n", "xx", "xy", "yy", "log_det"])
+
+
+def exponential_gls(rows: DataFrame) -> DataFrame:
+    """``(taxon, n, phi, slope, se, t)`` of y ~ x + core from (taxon, core, x, y, age); errors are correlated within a core only.
+
+    phi is the one of a grid with the greatest profile likelihood. The samples of one taxon in one
+    core are one group; cores meet in sums. Rows with a null value are left out. Estimates are null
+    without degrees of freedom or where x or y does not vary within any core.
+    """
+    known = rows.dropna(subset=["x", "y", "age"])
+    terms = known.groupBy("taxon", "core").applyInPandas(_gls_terms, "taxon string, phi double, n long, xx double, xy double, yy double, log_det double")
+    sums = terms.groupBy("taxon", "phi").agg(*[F.sum(c).alias(c) for c in ("n", "xx", "xy", "yy", "log_det")], (F.sum("n") - n_rows() - 1).alias("free"))
+    fitted = (F.col("free") > 0) & (F.col("xx") > 1e-9) & (F.col("yy") > 1e-9)
+    rss = F.greatest(F.col("yy") - F.col("xy") * F.col("xy") / F.col("xx"), F.lit(0.0))
+    sums = sums.withColumn("rss", F.when(fitted, rss)).withColumn("slope", F.when(fitted, F.col("xy") / F.col("xx")))
+    likelihood = -F.col("n") / 2 * F.log(F.greatest("rss", F.lit(1e-300))) - F.col("log_det")
+    se = F.sqrt(F.col("rss") / F.col("free") / F.col("xx"))
+    best = sums.groupBy("taxon", "n").agg(F.max_by(F.struct(F.when(fitted, F.col("phi")).alias("phi"), "slope", se.alias("se")), F.coalesce(likelihood, F.lit(0.0))).alias("b"))
+    return best.select("taxon", "n", "b.phi", "b.slope", "b.se", F.try_divide("b.slope", "b.se").alias("t"))
 
 
 @query("t07_gls")
 def gls(d: Domain):
-    rows = d.clr_primary.where("core = 'ASIA'").select("taxon", F.col("clr").alias("y"), F.col("mis").alias("x"), F.col("age_kyr").alias("age"))
-    return rows.groupBy("taxon").applyInPandas(exponential_gls, "taxon string, n long, phi double, slope double, se double, t double")
+    return exponential_gls(d.clr_primary.select("taxon", "core", F.col("clr").alias("y"), F.col("mis").alias("x"), F.col("age_kyr").alias("age")))
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p") -> DataFrame:
