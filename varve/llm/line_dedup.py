@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from varve.llm.batches import sized_slices
 from varve.llm.membership import Bitmap
-from varve.llm.minhash import NODE_SCHEMA, Banding, flat_signatures, similar_components
+from varve.llm.minhash import BLOCK_SCHEMA, Banding, flat_signatures, node_block, similar_components
 from varve.operators.staging import Workspace
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -128,7 +128,8 @@ def mark_duplicates(docs: DataFrame, params: LineDedup = LineDedup(), doc_id: st
     are linked when equal or when their character shingles reach the threshold, other lines that are
     not blank when equal and ``exact_all`` is set. Null texts have no
     lines. Rows with a null id take part with no lines. ``check`` is Spark's xxhash64 of the line: of
-    rows with the same id only those lose a line that hold it at this number. An empty table gives none.
+    rows with the same id only those lose a line that hold it at this number; a line that several of
+    them hold there comes several times. An empty table gives none.
     """
     p = params
     ws = Workspace(docs.sparkSession, "lines")
@@ -147,13 +148,13 @@ def mark_duplicates(docs: DataFrame, params: LineDedup = LineDedup(), doc_id: st
         return lines.filter(wanted), rows[chosen], numbers[chosen]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row with ``doc`` for every line, and one with ``id`` for each way in which a line is compared."""
+        """A row with ``doc`` for every line, and blocks with a node for each way in which a line is compared."""
         recent: set[int] = set()  # lines this task has signed; others may sign them again
         for batch in sized_slices(batches, 1024, 1 << 22):
             lines, rows, numbers = lines_of(batch)
             ids, checks = _hashes(lines)
             places = [pa.array(ids), pa.array(checks), batch.column("doc").take(pa.array(rows)), pa.array(numbers, pa.int32())]
-            yield _rows(places, [None] * 3, len(ids))
+            yield _rows(places, [None] * 4, len(ids))
             if len(recent) > _REMEMBERED:
                 recent.clear()
             seen, at = np.unique(ids, return_index=True)
@@ -166,12 +167,11 @@ def mark_duplicates(docs: DataFrame, params: LineDedup = LineDedup(), doc_id: st
                     some = fresh[i : i + 1024]
                     hashes, counts = shingle_hashes(lines.take(pa.array(some)).to_pylist(), k, np.uint32)
                     sig = flat_signatures(hashes, counts, p.hashes)
-                    node = [pa.array(ids[some] | step), pa.array(counts), pa.array([r.tobytes() for r in sig], pa.binary())]
-                    yield _rows([None] * 4, node, len(some))
+                    yield _rows([None] * 4, node_block(ids[some] | step, counts, sig), 1)
 
-    signed = ws.table(base.mapInArrow(sign, f"line long, check long, doc long, line_no int, {NODE_SCHEMA}"), "signed")
+    signed = ws.table(base.mapInArrow(sign, f"line long, check long, doc long, line_no int, {BLOCK_SCHEMA}"), "signed")
     places = signed.where("doc is not null").select("line", "check", "doc", "line_no")
-    nodes = signed.where("id is not null").select("id", "size", "sig")
+    nodes = signed.where("n is not null").select("n", "ids", "sizes", "sigs")
 
     def payloads(candidates: DataFrame) -> DataFrame:
         """The candidates' lines; other lines are dropped where they are read."""
@@ -212,7 +212,7 @@ def mark_duplicates(docs: DataFrame, params: LineDedup = LineDedup(), doc_id: st
     held = ws.table(places.join(grouped, ["line", "check"]), "held")
     keep = held.groupBy("component", "own").agg(F.min(F.struct("doc", "line_no")).alias("keep"), F.count(F.lit(1)).alias("total")).where("total > 1")
     dropped = held.join(keep, ["component", "own"]).where("doc <> keep.doc or line_no <> keep.line_no")
-    return ws.table(dropped.select(F.col("doc").alias("doc_id"), "line_no", "check").distinct(), "dropped")
+    return ws.table(dropped.select(F.col("doc").alias("doc_id"), "line_no", "check"), "dropped")
 
 
 #: The low bits of a node's id, in which it differs from the id of its line: the place of its shingle length in the ladder.
@@ -234,9 +234,9 @@ def _ids(data: list[bytes]) -> np.ndarray:
 
 
 def _rows(place: list, node: list, n: int) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     columns = [pa.nulls(n, t) if c is None else c for c, t in zip([*place, *node], kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, names=["line", "check", "doc", "line_no", "id", "size", "sig"])
+    return pa.RecordBatch.from_arrays(columns, names=["line", "check", "doc", "line_no", "n", "ids", "sizes", "sigs"])
 
 
 @F.pandas_udf(T.StringType())
@@ -276,7 +276,7 @@ def drop_lines(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id", text
 def summary(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_lines, n_dropped, dropped_lines, kept)`` for every row; kept is false where nothing but dropped lines was there.
 
-    Rows with the same id share their list of dropped lines. Null texts have no lines.
+    Rows with the same id share their list of dropped lines; repeated rows of ``dropped`` count once. Null texts have no lines.
     """
     numbers = dropped.groupBy(F.col("doc_id").alias("d_")).agg(F.array_sort(F.collect_set("line_no")).alias("dropped_lines"))
     n = F.when(F.col(text).isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)

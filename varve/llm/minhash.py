@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varve.llm.batches import sized_slices
 from varve.llm.membership import Bitmap
 from varve.operators.components import connected_components
 from varve.operators.staging import Workspace
@@ -27,6 +28,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bucket keys in a range of them, which one task looks through.
 PART_KEYS = 1 << 19
 NODE_SCHEMA = "id long, size long, sig binary"
+#: Many nodes in one row: their number, and their ids, sizes and signatures one after another.
+BLOCK_SCHEMA = "n long, ids binary, sizes binary, sigs binary"
 
 
 @dataclass(frozen=True)
@@ -131,6 +134,29 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def node_block(ids: np.ndarray, sizes: np.ndarray, sig: np.ndarray) -> list[pa.Array]:
+    """The columns of one row of BLOCK_SCHEMA."""
+    return [pa.array([len(ids)], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, sizes.astype(np.int64, copy=False), sig))]
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], hashes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, sizes and signatures of nodes that come in blocks or one by one."""
+    for batch in batches:
+        if "sigs" not in batch.schema.names:
+            yield batch.column("id").to_numpy(), batch.column("size").to_numpy(), _binary_matrix(batch.column("sig"), "<u2", hashes)
+            continue
+        for some in sized_slices([batch], 256, 1 << 22):
+            ids, sizes, sig = (b"".join(some.column(c).to_pylist()) for c in ("ids", "sizes", "sigs"))
+            yield np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<i8"), np.frombuffer(sig, "<u2").reshape(-1, hashes)
+
+
+def _cells(matrix: np.ndarray) -> pa.Array:
+    """One binary value for each row of a matrix."""
+    width = matrix.shape[1] * matrix.itemsize
+    offsets = pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * np.int32(width)).buffers()[1]
+    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, offsets, pa.py_buffer(np.ascontiguousarray(matrix).tobytes())])
+
+
 def _binary_matrix(column: pa.Array | pa.ChunkedArray, dtype: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(-1, width)
 
@@ -139,7 +165,7 @@ def _extremes(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """The different keys, and the smallest and largest id of each."""
     if not len(keys):
         return keys, ids, ids
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, ids = keys[order], ids[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[starts], np.minimum.reduceat(ids, starts), np.maximum.reduceat(ids, starts)
@@ -211,18 +237,20 @@ def similar_components(
 ) -> DataFrame:
     """``(node, component)`` of every item that is linked to another one.
 
-    ``nodes`` has the columns of NODE_SCHEMA; repeated rows of an id are harmless. ``payloads_of``
+    ``nodes`` has the columns of NODE_SCHEMA or of BLOCK_SCHEMA; repeated rows of an id are harmless. ``payloads_of``
     gets a table of candidate ids and returns ``(id, payload)``; ``to_sets`` turns payloads into
     sorted arrays of distinct hashes. ``item`` gives the item a node belongs to, if items have
     several nodes. ``ties`` has further links ``(src, dst)`` between items.
     """
-    parts = max(int(ws.spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * p.bands // PART_KEYS))
+    blocked = "sigs" in nodes.columns
+    nodes = nodes.select("n", "ids", "sizes", "sigs") if blocked else nodes.select("id", "size", "sig")
+    n_nodes = nodes.agg(F.sum("n") if blocked else F.count(F.lit(1))).first()[0] or 0
+    parts = max(int(ws.spark.conf.get("spark.sql.shuffle.partitions")), -(-n_nodes * p.bands // PART_KEYS))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of keys and of ids, one for each range of keys; of a key that a batch has several times only the extremes."""
-        for batch in batches:
-            keys = p.keys(_binary_matrix(batch.column("sig"), "<u2", p.hashes)).ravel()
-            found, low, high = _extremes(keys, np.repeat(batch.column("id").to_numpy(), p.bands))
+        """Blocks of keys and of ids, one for each range of keys; of a key that comes several times at once only the extremes."""
+        for node_ids, _, sig in _unpacked(batches, p.hashes):
+            found, low, high = _extremes(p.keys(sig).ravel(), np.repeat(node_ids, p.bands))
             counts = 1 + (low < high)
             keys, ids = np.repeat(found, counts), np.repeat(low, counts)
             ids[np.cumsum(counts) - 1] = high
@@ -240,20 +268,20 @@ def similar_components(
             yield pa.RecordBatch.from_arrays([pa.array(found[two]), pa.array(low[two])], names=["key", "leader"])
 
     # A bucket is crowded if it has two different members. Only rows that may have a crowded key are read on.
-    placed = nodes.select("id", "sig").mapInArrow(place, "part long, keys binary, ids binary").repartition(parts, "part")
+    placed = nodes.mapInArrow(place, "part long, keys binary, ids binary").repartition(parts, "part")
     crowded = ws.table(placed.mapInArrow(crowds, "key long, leader long"), "crowded")
-    known = Bitmap(crowded, "key")
+    known = Bitmap(crowded, "key", 128)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = p.keys(_binary_matrix(batch.column("sig"), "<u2", p.hashes))
+        for ids, sizes, sig in _unpacked(batches, p.hashes):
+            keys = p.keys(sig)
             hit = known.passes(keys.ravel()).reshape(keys.shape)
             some = hit.any(1)
             offsets = pa.array(np.concatenate([[0], np.cumsum(hit[some].sum(1))]).astype(np.int32))
-            rows = batch.filter(pa.array(some))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(offsets, pa.array(keys[hit]))], names=[*rows.schema.names, "keys"])
+            columns = [pa.array(ids[some]), pa.array(sizes[some]), _cells(sig[some]), pa.ListArray.from_arrays(offsets, pa.array(keys[hit]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "sig", "keys"])
 
-    met = ws.table(nodes.select("id", "size", "sig").mapInArrow(meet, f"{NODE_SCHEMA}, keys array<long>"), "met")
+    met = ws.table(nodes.mapInArrow(meet, f"{NODE_SCHEMA}, keys array<long>"), "met")
     buckets = met.select("id", "size", F.explode("keys").alias("key")).join(crowded, "key").distinct()
     buckets = ws.table(buckets.withColumn("band", F.pmod("key", F.lit(32)).cast("int")), "buckets")
     reps = met.join(buckets.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "size", "sig")

@@ -73,7 +73,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.summary(docs, line_dedup.find_duplicates(docs, line_dedup.WHOLE))
+    return line_dedup.summary(docs, line_dedup.mark_duplicates(docs, line_dedup.WHOLE))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
