@@ -211,7 +211,12 @@ def mark_duplicates(docs: DataFrame, params: LineDedup = LineDedup(), doc_id: st
     grouped = grouped.select("line", "check", F.coalesce("component", "line").alias("component"), F.when(F.col("component").isNull(), F.col("check")).otherwise(F.lit(0)).alias("own"))
     held = ws.table(places.join(grouped, ["line", "check"]), "held")
     keep = held.groupBy("component", "own").agg(F.min(F.struct("doc", "line_no")).alias("keep"), F.count(F.lit(1)).alias("total")).where("total > 1")
-    dropped = held.join(keep, ["component", "own"]).where("doc <> keep.doc or line_no <> keep.line_no")
+    keep = ws.table(keep, "keep")
+    # Components with over a thousandth of these places are at most 1000; their first places are told by a broadcast, so no task gets a whole one.
+    many = F.col("total") > max(held.count() // 1000, 1)
+    told = held.join(F.broadcast(keep.where(many)), ["component", "own"], "left")
+    rest = told.where("keep is null").drop("keep", "total").join(keep.where(~many), ["component", "own"])
+    dropped = told.where("keep is not null").unionByName(rest).where("doc <> keep.doc or line_no <> keep.line_no")
     return ws.table(dropped.select(F.col("doc").alias("doc_id"), "line_no", "check"), "dropped")
 
 
