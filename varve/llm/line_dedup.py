@@ -264,6 +264,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+#: Told to be nondeterministic so that a filter on the cleaned text does not run it a second time, in a second Python worker of the same task.
+_without = _without.asNondeterministic()
+
+
 def drop_lines(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the dropped lines, same columns; texts without dropped lines come back unchanged.
 
