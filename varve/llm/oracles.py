@@ -101,3 +101,59 @@ SELECT doc_id, n_shingles, component_id, doc_id=component_id AS kept FROM placed
 """
 
 ORACLES = {"op1_url_filter": OP1, "op2_quality_rules": OP2, "op3_warc": OP3, "op4_near_dedup": OP4}
+
+#: Table of CRC-32 for all byte values, and the checksum of a text's UTF-8 bytes by it.
+_CRC_TABLE = """crc_table AS (SELECT list(list_reduce(list_prepend(i, [0,1,2,3,4,5,6,7]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i))"""
+
+
+def _crc32(text: str) -> str:
+    data = f"list_transform(range(0, strlen({text})), lambda k: ('0x'||substring(hex(encode({text})), 2*k+1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {data}), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+def _lower(text: str) -> str:
+    return f"translate({text},'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leaf(text: str) -> str:
+    part = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR)||':'||{0}::VARCHAR END"
+    return "sha256(" + "||".join(part.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(name: str, levels: int) -> str:
+    """Views ``name``1 to ``name``levels above ``name``0(g, pos, total, h)."""
+    return ", ".join(
+        f"""{name}{k + 1} AS (SELECT g, pos//8 AS pos, any_value((total+7)//8) AS total, CASE WHEN any_value(total)=1 THEN any_value(h) ELSE sha256(string_agg(h,'' ORDER BY pos)) END AS h
+        FROM {name}{k} GROUP BY g, pos//8)"""
+        for k in range(levels)
+    )
+
+
+def _folds(name: str, tree: str, levels: int) -> str:
+    """Views ``name``1 to ``name``levels above ``name``0(doc_id, g, pos, node, proof): one step up ``tree`` each."""
+    return ", ".join(
+        f"""{name}{k + 1} AS (SELECT doc_id, g, pos//8 AS pos, CASE WHEN total=1 THEN node ELSE sha256(lefts||node||rights) END AS node, proof||lefts||rights AS proof
+        FROM (SELECT f.doc_id, f.g, f.pos, f.node, f.proof, any_value(s.total) AS total, coalesce(string_agg(s.h,'' ORDER BY s.pos) FILTER (WHERE s.pos<f.pos),'') AS lefts,
+          coalesce(string_agg(s.h,'' ORDER BY s.pos) FILTER (WHERE s.pos>f.pos),'') AS rights
+          FROM {name}{k} f JOIN {tree}{k} s ON s.g=f.g AND s.pos//8=f.pos//8 GROUP BY f.doc_id, f.g, f.pos, f.node, f.proof))"""
+        for k in range(levels)
+    )
+
+
+#: Levels that the SQL spells out: 8^7 documents of a lang and 8^3 langs.
+_LEVELS, _TOP_LEVELS = 7, 3
+
+OP11 = f"""
+WITH {_CRC_TABLE},
+rows_ AS (SELECT doc_id, coalesce('='||lang,'') AS g, {_leaf("text")} AS leaf, CASE WHEN {_crc32("doc_id::VARCHAR")}%3=0 THEN {_leaf(_lower("text"))} ELSE {_leaf("text")} END AS seen FROM documents, crc_table),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf)-1 AS pos, count(*) OVER (PARTITION BY g) AS total FROM rows_),
+t0 AS (SELECT g, pos, total, leaf AS h FROM numbered), {_tree("t", _LEVELS)},
+s0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY encode(g))-1 AS pos, count(*) OVER () AS total, h, g AS lang_ FROM t{_LEVELS}), {_tree("s", _TOP_LEVELS)},
+f0 AS (SELECT doc_id, g, pos, seen AS node, '' AS proof FROM numbered), {_folds("f", "t", _LEVELS)},
+u0 AS (SELECT f.doc_id, s.g, s.pos, f.node, f.proof FROM f{_LEVELS} f JOIN s0 s ON s.lang_=f.g), {_folds("u", "s", _TOP_LEVELS)}
+SELECT n.doc_id, n.leaf, t.h AS subroot, s.h AS root, sha256(u.proof) AS proof_sha256, u.node AS folded_root, u.node=s.h AS verified
+FROM numbered n JOIN u{_TOP_LEVELS} u ON u.doc_id=n.doc_id JOIN t{_LEVELS} t ON t.g=n.g, s{_TOP_LEVELS} s
+"""
+
+ORACLES |= {"op11_merkle": OP11}

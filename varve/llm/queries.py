@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import byte_bpe, compression_langid, decontaminate, line_dedup, near_dedup, oracles, pairwise_quality, quality_rules, token_records, url_filter, warc
+from varve.llm import byte_bpe, compression_langid, decontaminate, line_dedup, merkle, near_dedup, oracles, pairwise_quality, quality_rules, token_records, url_filter, warc
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -82,6 +82,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(docs.select("doc_id"), pairs)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proofs of every document, and whether a third of the documents, tampered with, still folds to the root."""
+    docs = _read(spark, sf_dir, "documents")
+    return merkle.manifest(merkle.document_leaves(docs, F.crc32(F.col("doc_id").cast("string")) % 3 == 0))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
@@ -93,6 +99,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLES: dict[str, str] = oracles.ORACLES
