@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import byte_bpe, compression_langid, decontaminate, line_dedup, merkle, near_dedup, oracles, pairwise_quality, quality_rules, token_records, url_filter, warc
+from varve.llm import byte_bpe, compression_langid, decontaminate, line_dedup, merkle, near_dedup, oracles, pairwise_quality, quality_rules, sentence_pieces, token_records, url_filter, warc
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -88,6 +88,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(merkle.document_leaves(docs, F.crc32(F.col("doc_id").cast("string")) % 3 == 0))
 
 
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the SentencePiece ids of every document and of the text they decode to."""
+    encoder = sentence_pieces.PieceEncoder(public_tokenizers.path("piece_bpe_32k.model"))
+    return _read(spark, sf_dir, "documents").select("doc_id", encoder.digest(F.col("text")).alias("d")).select("doc_id", "d.*")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
@@ -100,6 +106,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
     "op11_merkle": op11_merkle,
+    "op12_sentence_pieces": op12_sentence_pieces,
 }
 
 ORACLES: dict[str, str] = oracles.ORACLES
