@@ -157,3 +157,20 @@ FROM numbered n JOIN u{_TOP_LEVELS} u ON u.doc_id=n.doc_id JOIN t{_LEVELS} t ON
 """
 
 ORACLES |= {"op11_merkle": OP11}
+
+OP13 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all({_lower("text")}, '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents) GROUP BY doc_id, run),
+sums AS (SELECT run, c, {_crc32("(doc_id::VARCHAR||':'||run)")} AS h FROM runs, crc_table),
+slipped AS (SELECT CASE WHEN h%31=0 THEN substring(run,1,(h%length(run))::INT)||substring(run,(h%length(run))::INT+2) ELSE run END AS word, c FROM sums),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM slipped WHERE length(word)>=7 GROUP BY word HAVING sum(c)>=2),
+cuts AS (SELECT word, i, substring(word,1,i::INT-1)||substring(word,i::INT+1) AS rest FROM (SELECT word, unnest(range(1,length(word)+1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS near FROM cuts a JOIN cuts b ON a.i=b.i AND a.rest=b.rest AND a.word<>b.word
+  UNION SELECT c.word, w.word FROM cuts c JOIN words w ON w.word=c.rest UNION SELECT w.word, c.word FROM cuts c JOIN words w ON w.word=c.rest),
+best AS (SELECT x.word, count(*) AS n_near, min({{'m': -w.n, 'w': x.near}}) AS b FROM near x JOIN words w ON w.word=x.near GROUP BY x.word),
+forms AS (SELECT w.word, w.n, coalesce(n_near,0) AS n_near, CASE WHEN -b.m>=10*w.n THEN b.w END AS form, CASE WHEN -b.m>=10*w.n THEN -b.m END AS form_n FROM words w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS last_, 0 AS step FROM forms UNION ALL SELECT c.word, f.form, c.step+1 FROM chain c JOIN forms f ON f.word=c.last_ WHERE f.form IS NOT NULL)
+SELECT word, form, arg_max(last_, step) AS root, n, n_near, form_n FROM forms JOIN chain USING (word) GROUP BY word, form, n, n_near, form_n
+"""
+
+ORACLES |= {"op13_spelling": OP13}

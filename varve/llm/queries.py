@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import byte_bpe, compression_langid, decontaminate, line_dedup, merkle, near_dedup, oracles, pairwise_quality, quality_rules, sentence_pieces, token_records, url_filter, warc
+from varve.llm import byte_bpe, compression_langid, decontaminate, line_dedup, merkle, near_dedup, oracles, pairwise_quality, quality_rules, sentence_pieces, spelling, token_records, url_filter, warc
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -94,6 +94,12 @@ def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", encoder.digest(F.col("text")).alias("d")).select("doc_id", "d.*")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of the documents with its near words' number, its form and the root that forms lead to."""
+    p = spelling.Spelling()
+    return spelling.variants(spelling.vocabulary(spelling.document_words(_read(spark, sf_dir, "documents")), p), p)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
@@ -107,6 +113,7 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_merkle": op11_merkle,
     "op12_sentence_pieces": op12_sentence_pieces,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = oracles.ORACLES
