@@ -36,6 +36,8 @@ CASTAGNOLI, MASK_DELTA = 0x82F63B78, 0xA282EAD8
 ASCII_LETTERS, MARKS = string.ascii_letters, string.punctuation.replace("'", "")
 #: Letters and bytes of other scripts, then ASCII marks without the apostrophe.
 _MARKED = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
+#: Letters from here on are left to the tokenizer together with the marks after them.
+PARTED = "\u0530"
 #: Bytes of record files that one task reads back.
 READ_BYTES = 1 << 24
 #: Words whose ids a worker remembers in each of two generations.
@@ -144,13 +146,19 @@ class WordEncoder:
         parts: dict[bytes, tuple[bytes, ...]] = {}
         for word in words:
             m = _MARKED.fullmatch(word) if cuts else None
-            parts[word] = m.groups() if m and (word[m.end(1) - 1] < 128 or m[1].decode()[-1].isalpha()) else (word,)
+            parts[word] = m.groups() if m and (word[m.end(1) - 1] < 128 or self._ends_in_letter(m[1].decode())) else (word,)
         pieces = {p for ps in parts.values() for p in ps}
         ids = {p: known[p] for p in pieces if p in known}
         fresh = list(pieces.difference(ids))
         ids |= zip(fresh, self._encode_words(fresh), strict=True)
         return ids | {w: b"".join([ids[p] for p in ps]) for w, ps in parts.items()}
 
+    def _ends_in_letter(self, letters: str) -> bool:
+        """Whether the normalized form ends in a letter of the scripts before ``PARTED``, and not in a mark that would join what follows."""
+        normalizer = _tokenizer(self.tokenizer_file).normalizer
+        last = (normalizer.normalize_str(letters) if normalizer else letters)[-1:]
+        return last.isalpha() and last < PARTED
+
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
         """Words joined by spaces, in groups; token offsets tell which word a token belongs to."""
         tokenizer = _tokenizer(self.tokenizer_file)
