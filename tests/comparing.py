@@ -24,7 +24,7 @@ def _cell(x: object) -> object:
     if isinstance(x, Decimal):
         x = float(x)
     if isinstance(x, float):
-        return "nan" if x != x else round(x, 5) + 0.0
+        return "nan" if x != x else x + 0.0
     if isinstance(x, (list, tuple)):
         return tuple(_cell(v) for v in x)
     return x

@@ -382,19 +382,19 @@ def age_bins(d: Domain):
     """, x AS (SELECT core, taxon, avg(abundance) AS importance FROM clr5 GROUP BY ALL), y AS (SELECT x.*, coalesce(degree,0) AS degree, round(coalesce(strength,0),6) AS strength FROM x LEFT JOIN degrees USING (core, taxon)),
     r AS (SELECT *, count(*) OVER c AS n, rank() OVER (PARTITION BY core ORDER BY importance)+(count(*) OVER (PARTITION BY core, importance)-1)/2.0 AS ri,
       rank() OVER (PARTITION BY core ORDER BY degree)+(count(*) OVER (PARTITION BY core, degree)-1)/2.0 AS rd, rank() OVER (PARTITION BY core ORDER BY strength)+(count(*) OVER (PARTITION BY core, strength)-1)/2.0 AS rs FROM y WINDOW c AS (PARTITION BY core)),
-    p AS (SELECT core, taxon, round(ri/n,6) AS stat, round((rd+rs)/(2*n),6) AS topo FROM r)
-    SELECT core, taxon, stat, topo, round((stat+topo)/2,6) AS score, CASE WHEN stat>=0.9 AND topo>=0.9 THEN 'super-driver' WHEN stat>=0.8 AND topo>=0.8 THEN 'high potential' WHEN stat>=0.9 THEN 'specialist' ELSE 'peripheral' END AS tier FROM p""",
+    p AS (SELECT core, taxon, round(ri/n,6) AS stat, round((rd+rs)/(2*n),6) AS topo, round((2*ri+rd+rs)/(4*n),6) AS score FROM r)
+    SELECT core, taxon, stat, topo, score, CASE WHEN stat>=0.9 AND topo>=0.9 THEN 'super-driver' WHEN stat>=0.8 AND topo>=0.8 THEN 'high potential' WHEN stat>=0.9 THEN 'specialist' ELSE 'peripheral' END AS tier FROM p""",
 )
 def driver_tiers(d: Domain):
-    """Percentiles of a statistical and of topological measures, their mean, and the tier."""
+    """Percentiles of a statistical and of topological measures, their mean (rounded once, from the ranks), and the tier."""
     x = d.clr_primary.groupBy("core", "taxon").agg(F.avg("abundance").alias("importance"))
     y = x.join(graphs.degrees(d.edges), ["core", "taxon"], "left").fillna(0, ["degree"]).withColumn("strength", F.round(F.coalesce("strength", F.lit(0.0)), 6))
     rank = {c: C.average_rank(c, ["core"]) for c in ("importance", "degree", "strength")}
     n = F.count(F.lit(1)).over(W("core"))
-    p = y.select("core", "taxon", F.round(rank["importance"] / n, 6).alias("stat"), F.round((rank["degree"] + rank["strength"]) / (2 * n), 6).alias("topo"))
+    p = y.select("core", "taxon", F.round(rank["importance"] / n, 6).alias("stat"), F.round((rank["degree"] + rank["strength"]) / (2 * n), 6).alias("topo"), F.round((2 * rank["importance"] + rank["degree"] + rank["strength"]) / (4 * n), 6).alias("score"))
     s, t = F.col("stat"), F.col("topo")
     tier = F.when((s >= 0.9) & (t >= 0.9), "super-driver").when((s >= 0.8) & (t >= 0.8), "high potential").when(s >= 0.9, "specialist").otherwise("peripheral")
-    return p.withColumns({"score": F.round((s + t) / 2, 6), "tier": tier})
+    return p.withColumn("tier", tier)
 
 
 @query(
