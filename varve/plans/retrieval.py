@@ -147,21 +147,6 @@ def links_browse(d: Domain):
     return d.edges.select("core", "src", "dst", F.round("weight", 6).alias("weight")).orderBy(F.desc("weight"), "core", "src", "dst").limit(25)
 
 
-@query(
-    "m09_link_features",
-    """, cores AS (SELECT taxon, count(DISTINCT core) AS n_cores, list_sort(list(DISTINCT core)) AS cores FROM clr5 WHERE abundance>0 GROUP BY taxon)
-    SELECT a.taxon AS src, b.taxon AS dst, len(list_intersect(a.cores,b.cores))::INT AS shared_cores, least(a.n_cores,b.n_cores) AS min_prevalence, greatest(a.n_cores,b.n_cores) AS max_prevalence
-    FROM cores a JOIN cores b ON a.taxon<b.taxon WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src=a.taxon AND e.dst=b.taxon)""",
-)
-def link_features(d: Domain):
-    c = d.clr_primary.where("abundance > 0").groupBy("taxon").agg(F.collect_set("core").alias("cores"))
-    a = c.select(F.col("taxon").alias("src"), F.col("cores").alias("ca"))
-    b = c.select(F.col("taxon").alias("dst"), F.col("cores").alias("cb"))
-    pairs = a.join(b, F.col("src") < F.col("dst")).join(d.edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
-    n = lambda x: F.size(x).cast("long")
-    return pairs.select("src", "dst", F.size(F.array_intersect("ca", "cb")).alias("shared_cores"), F.least(n("ca"), n("cb")).alias("min_prevalence"), F.greatest(n("ca"), n("cb")).alias("max_prevalence"))
-
-
 @query("m15_fingerprint", "SELECT label%3 AS state, core, count(*) AS n, round(avg(sst),6) AS mean_sst, round(avg((mis>4)::INT),6) AS glacial FROM meta GROUP BY ALL")
 def fingerprint(d: Domain):
     g = d.meta.groupBy((F.col("label") % 3).alias("state"), "core")
