@@ -49,10 +49,12 @@ def silhouettes(points: DataFrame, counts: list[int], block_rows: int = 1024) ->
             # Differences rather than dot products: equal vectors are at exactly 0. Rows in steps that bound the memory.
             step = max((1 << 22) // max(y.size, 1), 1)
             found = np.concatenate([np.sqrt(((x[k : k + step, None, :] - y[None, :, :]) ** 2).sum(2)) @ in_cluster for k in range(0, len(x), step)])
-            frame = pd.DataFrame(found, columns=names)
-            frame.insert(0, "id", a["id"].to_numpy())
-            out.append(frame)
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ["id", *names]})
+            out.append((a["id"].tolist(), found))
+        if not out:
+            return pd.DataFrame(columns=["id", *names], dtype=object)
+        frame = pd.DataFrame(np.concatenate([f for _, f in out]), columns=names)
+        frame.insert(0, "id", [i for ids, _ in out for i in ids])
+        return frame
 
     kinds = "id string, " + ", ".join(f"{n} double" for n in names)
     far = spread.groupBy("i", "j").applyInPandas(sums, kinds).groupBy("id").agg(*[F.sum(n).alias(n) for n in names])

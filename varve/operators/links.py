@@ -107,7 +107,7 @@ def absent_by_blocks(nodes: DataFrame, observed: DataFrame, model: LinkModel | N
         ends = rows[rows["own"] >= 0].sort_values("a")
         left, right = ends[ends["own"] == i], ends[ends["own"] == j]
         if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in columns})
+            return pd.DataFrame(columns=columns, dtype=object)
         z1, z2 = np.array(left["z"].tolist()), np.array(right["z"].tolist())
         s1, s2 = np.array(left["sites"].tolist()), np.array(right["sites"].tolist())
         n1, n2 = left["a"].to_numpy(), right["a"].to_numpy()

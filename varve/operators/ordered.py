@@ -6,6 +6,8 @@ is a sum over one row per partition.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,24 +17,33 @@ from varve.operators.staging import Workspace
 def running_sums(rows: DataFrame, order: list[Column], sums: dict[str, Column], by: list[str] | None = None, ws: Workspace | None = None) -> DataFrame:
     """``rows`` with the sum of each column of ``sums`` over the rows of the same ``by`` up to and including the row.
 
-    ``order`` must not leave ties among rows of a group; nulls sort as Spark sorts them. Null sums count as 0.
+    ``order`` must not leave ties among rows of a group; nulls sort as Spark sorts them. Null values count as 0.
     """
+    terms = {n: F.coalesce(c, F.lit(0)) for n, c in sums.items()}
+    return _running(rows, order, terms, F.sum, lambda own, before: own + F.coalesce(before, F.lit(0)), by, ws)
+
+
+def running_least(rows: DataFrame, order: list[Column], values: dict[str, Column], by: list[str] | None = None, ws: Workspace | None = None) -> DataFrame:
+    """As ``running_sums`` with the smallest value that is not null."""
+    return _running(rows, order, values, F.min, F.least, by, ws)
+
+
+def _running(rows: DataFrame, order: list[Column], terms: dict[str, Column], fold: Callable, joined: Callable, by: list[str] | None, ws: Workspace | None) -> DataFrame:
     ws = ws or Workspace(rows.sparkSession, "ordered")
     by = by or []
     group = [F.col(c) for c in by]
-    terms = rows.withColumns({f"{n}_": F.coalesce(c, F.lit(0)) for n, c in sums.items()})
     # The sample that finds the ranges reads the rows once more, so they are stored first.
-    dealt = ws.table(terms, "terms").repartitionByRange(*group, *order).withColumn("part_", F.spark_partition_id())
-    dealt = ws.table(dealt, "dealt")
-    totals = dealt.groupBy("part_", *by).agg(*[F.sum(f"{n}_").alias(n) for n in sums])
-    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    before = ws.table(totals.select(F.col("part_").alias("earlier_part_"), *[F.col(c).alias(f"{c}_earlier_") for c in by], *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}_before") for n in sums]), "before")
+    stored = ws.table(rows.withColumns({f"{n}_": c for n, c in terms.items()}), "terms")
+    dealt = ws.table(stored.repartitionByRange(*group, *order).withColumn("part_", F.spark_partition_id()), "dealt")
+    totals = dealt.groupBy("part_", *by).agg(*[fold(f"{n}_").alias(n) for n in terms])
+    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    before = ws.table(totals.select(F.col("part_").alias("earlier_part_"), *[F.col(c).alias(f"{c}_earlier_") for c in by], *[fold(n).over(earlier).alias(f"{n}_before") for n in terms]), "before")
     same = F.col("part_") == F.col("earlier_part_")
     for c in by:
         same &= F.col(c).eqNullSafe(F.col(f"{c}_earlier_"))
     own = Window.partitionBy("part_", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = dealt.join(before, same)
-    return out.select(*rows.columns, *[(F.sum(f"{n}_").over(own) + F.col(f"{n}_before")).alias(n) for n in sums])
+    return out.select(*rows.columns, *[joined(fold(f"{n}_").over(own), F.col(f"{n}_before")).alias(n) for n in terms])
 
 
 def positions(rows: DataFrame, order: list[Column], by: list[str] | None = None, name: str = "position", ws: Workspace | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from varve.functions import columns as C
-from varve.operators import abundance
+from varve.operators import abundance, ordered
 from varve.functions.columns import n_rows
 from varve.plans.base import query
 from varve.sources.domain import Domain
@@ -234,18 +234,15 @@ def kappa(d: Domain):
 
 @query(
     "a29_auc",
-    "SELECT round((sum(r) FILTER (WHERE y=1)-count(*) FILTER (WHERE y=1)*(count(*) FILTER (WHERE y=1)+1)/2.0)/(count(*) FILTER (WHERE y=1)*count(*) FILTER (WHERE y=0)),6) AS auc FROM (SELECT quality y, rank() OVER (ORDER BY n_chars)+(count(*) OVER (PARTITION BY n_chars)-1)/2.0 r FROM labels JOIN documents USING (doc_id))",
+    """, x AS (SELECT n_chars, sum(quality) AS p, sum(1-quality) AS q FROM labels JOIN documents USING (doc_id) WHERE n_chars IS NOT NULL AND quality IS NOT NULL GROUP BY n_chars),
+    run AS (SELECT *, sum(p) OVER w AS cp, sum(q) OVER w AS cq FROM x WINDOW w AS (ORDER BY n_chars DESC))
+    SELECT round(sum(q*(cp-p+p/2.0))/nullif(sum(p)*sum(q),0),6) AS auc, round(sum(p*cp*1.0/(cp+cq))/nullif(sum(p),0),6) AS average_precision FROM run""",
 )
 def auc(d: Domain):
-    return rank_auc(d.table("labels").join(d.table("documents").select("doc_id", "n_chars"), "doc_id"), "n_chars", "quality")
-
-
-def rank_auc(scored, score: str, label: str):
-    """AUC from counts per distinct score: wins plus half the ties, over all pairs of unlike labels."""
-    by = scored.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by = by.select("p", "n", (F.col("p") * (below + F.col("n") / 2)).alias("wins"))
-    return by.agg(F.round(F.sum("wins") / (F.sum("p") * F.sum("n")), 6).alias("auc"))
+    """Area under the curve and average precision of the length of a document as a sign of quality."""
+    scored = d.table("labels").join(d.table("documents").select("doc_id", "n_chars"), "doc_id")
+    found = ordered.ranking_quality(scored, label="quality", score="n_chars")
+    return found.select(F.round("auc", 6).alias("auc"), F.round("average_precision", 6).alias("average_precision"))
 
 
 @query("a30_all_correlations", "SELECT 'mis' AS a, 'sst' AS b, round(corr(mis,sst),6) AS r FROM meta UNION ALL SELECT 'age_kyr','mis',round(corr(age_kyr,mis),6) FROM meta UNION ALL SELECT 'age_kyr','sst',round(corr(age_kyr,sst),6) FROM meta")
@@ -300,7 +297,7 @@ def top_per_group(d: Domain):
 @query("w02_global_rank", "SELECT taxon, row_number() OVER (ORDER BY s DESC, taxon)::INT AS rank FROM (SELECT taxon, sum(n_reads) s FROM totals GROUP BY 1)")
 def global_rank(d: Domain):
     s = d.totals.groupBy("taxon").agg(F.sum("n_reads").alias("s"))
-    return s.select("taxon", F.row_number().over(Window.orderBy(F.desc("s"), "taxon")).alias("rank"))
+    return ordered.positions(s, [F.desc("s"), F.col("taxon")], name="rank").select("taxon", (F.col("rank") + 1).cast("int").alias("rank"))
 
 
 @query("w03_average_rank", "SELECT taxon, label, rank() OVER (PARTITION BY label ORDER BY n_reads)+(count(*) OVER (PARTITION BY label, n_reads)-1)/2.0::DOUBLE AS r FROM totals")
@@ -401,7 +398,10 @@ def weighted_context(d: Domain):
     "SELECT taxon, a.r::INT AS before, b.r::INT AS after, (b.r-a.r)::INT AS delta FROM (SELECT taxon, row_number() OVER (ORDER BY sum(n_reads) DESC, taxon) r FROM totals GROUP BY 1) a FULL JOIN (SELECT taxon, row_number() OVER (ORDER BY sum(abundance) DESC, taxon) r FROM totals WHERE abundance>0 GROUP BY 1) b USING (taxon)",
 )
 def ranking_change(d: Domain):
-    rank = lambda df, x, n: df.groupBy("taxon").agg(F.sum(x).alias("s")).select("taxon", F.row_number().over(Window.orderBy(F.desc("s"), "taxon")).alias(n))
+    def rank(df, x, n):
+        placed = ordered.positions(df.groupBy("taxon").agg(F.sum(x).alias("s")), [F.desc("s"), F.col("taxon")])
+        return placed.select("taxon", (F.col("position") + 1).cast("int").alias(n))
+
     out = rank(d.totals, "n_reads", "before").join(rank(d.totals.where("abundance > 0"), "abundance", "after"), "taxon", "full_outer")
     return out.withColumn("delta", F.col("after") - F.col("before"))
 

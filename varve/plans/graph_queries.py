@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from varve.functions import columns as C
 from varve.functions.columns import n_rows
-from varve.operators import graphs
+from varve.operators import graphs, ordered
 from varve.plans.base import query
 from varve.sources.domain import Domain
 
@@ -92,7 +92,8 @@ def heterograph_edges(d: Domain):
 
 @query("g11_index_space", "SELECT taxon, (row_number() OVER (ORDER BY taxon)-1)::INT AS idx FROM prevalent WHERE threshold=5")
 def index_space(d: Domain):
-    return d.prevalent.where("threshold = 5").select("taxon", (F.row_number().over(Window.orderBy("taxon")) - 1).alias("idx"))
+    placed = ordered.positions(d.prevalent.where("threshold = 5").select("taxon"), [F.col("taxon")])
+    return placed.select("taxon", F.col("position").cast("int").alias("idx"))
 
 
 @query(

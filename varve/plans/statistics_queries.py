@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varve.functions import columns as C
-from varve.operators import graphs
+from varve.operators import graphs, ordered
+from varve.operators.staging import Workspace
 from varve.functions.columns import n_rows
 from varve.plans.base import query
 from varve.sources.domain import Domain
@@ -143,14 +144,19 @@ def gls(d: Domain):
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p") -> DataFrame:
-    """Add ``q``; null p-values stay null and do not count."""
-    tested = df.where(F.col(p).isNotNull())
-    n = tested.agg(n_rows().alias("m_"))
-    up = Window.orderBy(p)
-    ranked = tested.crossJoin(F.broadcast(n)).withColumn("raw_", F.col(p) * F.col("m_") / F.row_number().over(up))
-    q = F.least(F.lit(1.0), F.min("raw_").over(Window.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)))
-    out = ranked.withColumn("q", q).drop("m_", "raw_")
-    return out.unionByName(df.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
+    """Add ``q``; null p-values stay null and do not count.
+
+    The rank of a p-value is a running count over the distinct values in order, and q the least of p * n / rank from the
+    largest value down; neither meets in one task.
+    """
+    ws = Workspace(df.sparkSession, "fdr")
+    stored = ws.table(df, "tested")
+    steps = stored.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p_")).agg(n_rows().alias("c_"))
+    ranked = ordered.running_sums(steps, [F.col("p_")], {"rank_": F.col("c_")}, ws=ws)
+    n = stored.agg(F.count(p).alias("m_"))
+    raw = ranked.crossJoin(F.broadcast(n)).withColumn("raw_", F.col("p_") * F.col("m_") / F.col("rank_"))
+    least = ordered.running_least(raw, [F.desc("p_")], {"least_": F.col("raw_")}, ws=ws).select("p_", F.least(F.lit(1.0), "least_").alias("q"))
+    return stored.join(least, F.col(p) == F.col("p_"), "left").drop("p_")
 
 
 @query(
