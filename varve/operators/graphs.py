@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varve.functions.columns import average_rank
+from varve.operators import blocks
 from varve.operators.components import connected_components
 from varve.operators.staging import Workspace
 
@@ -29,13 +30,15 @@ def unit_vectors(clr: DataFrame, method: str) -> DataFrame:
     return x.select("core", "label", "taxon", F.try_divide("c", F.when(norm > 1e-12, norm)).alias("x"))
 
 
-def correlations(clr: DataFrame, method: str = "pearson", min_samples: int = 8) -> DataFrame:
-    """``(core, src, dst, n, r)`` of all taxon pairs of a core with enough samples."""
-    v = unit_vectors(clr, method)
-    a = v.select("core", "label", F.col("taxon").alias("src"), F.col("x").alias("a"))
-    b = v.select("core", "label", F.col("taxon").alias("dst"), F.col("x").alias("b"))
-    pairs = a.join(b, ["core", "label"]).where("src < dst").groupBy("core", "src", "dst")
-    return pairs.agg(F.count("a").alias("n"), F.sum(F.col("a") * F.col("b")).alias("r")).where((F.col("n") >= min_samples) & F.col("r").isNotNull())
+def correlations(clr: DataFrame, method: str = "pearson", min_samples: int = 8, cutoff: float | None = None) -> DataFrame:
+    """``(core, src, dst, n, r)`` of the taxon pairs of a core with enough common samples, and with a ``cutoff`` only those of at least that size.
+
+    Vectors are stored once; pairs are formed block by block in tasks, so no row per pair and sample exists.
+    """
+    v = unit_vectors(clr, method).where("x is not null")
+    rows = v.groupBy("core", F.col("taxon").alias("node")).agg(F.array_sort(F.collect_list(F.struct("label", "x"))).alias("v"))
+    rows = rows.select("core", "node", F.transform("v", lambda s: s["label"]).alias("labels"), F.transform("v", lambda s: s["x"]).alias("x"))
+    return blocks.products(Workspace(clr.sparkSession, "vectors").table(rows, "vectors"), min_samples, cutoff)
 
 
 def mutual_information(rho: str = "r"):
@@ -46,7 +49,7 @@ def association_graph(clr: DataFrame, method: str = "pearson", cutoff: float = 0
     if method == "mi_aracne":
         mi = correlations(clr, "spearman", min_samples).select("core", "src", "dst", mutual_information().alias("weight")).where("weight > 0")
         return aracne(mi).withColumn("signed_weight", F.col("weight"))
-    r = correlations(clr, method, min_samples).where(F.abs("r") >= cutoff)
+    r = correlations(clr, method, min_samples, cutoff)
     return r.select("core", "src", "dst", F.col("r").alias("signed_weight"), F.abs("r").alias("weight"))
 
 

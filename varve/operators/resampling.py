@@ -9,20 +9,15 @@ a task.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varve.operators import ordered
+from varve.operators.blocks import BLOCK_VALUES, by_blocks
 from varve.operators.components import connected_components
 
-#: Values of two blocks that a task may hold, which bounds the rows of a block by the number of samples.
-BLOCK_VALUES = 1 << 22
-
-
 def multiplicities(core: str, n: int, replicate: int) -> np.ndarray:
     """How often each of ``n`` samples, in the order of their labels, is drawn with replacement; replicate 0 draws each once.
 
@@ -52,24 +47,6 @@ def vectors(clr: DataFrame) -> DataFrame:
     return clr.groupBy("core", F.col("taxon").alias("node")).agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "clr"))), lambda s: s["clr"]).alias("x"))
 
 
-def _by_blocks(rows: DataFrame, values: int, work: Callable, kinds: str, block_values: int) -> DataFrame:
-    """``work(core, left, right, same)`` on every pair of blocks of a core; ``values`` is the number of doubles of a row."""
-    n = rows.groupBy("core").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    n_blocks = max(-(-n // max(block_values // (2 * max(values, 1)), 1)), 1)
-    spread = rows.withColumn("own_", F.pmod(F.xxhash64("node"), F.lit(n_blocks)).cast("int")).withColumn("other_", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    spread = spread.select(F.col("core").alias("core_"), F.least("own_", "other_").alias("i_"), F.greatest("own_", "other_").alias("j_"), "own_", *[c for c in rows.columns if c != "core"])
-    columns = [part.strip().split(" ")[0] for part in kinds.split(",")]
-
-    def apply(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        core, i, j = key
-        group = group.sort_values("node")
-        left, right = group[group["own_"] == i], group[group["own_"] == j]
-        found = work(core, left, right, i == j) if len(left) and len(right) else None
-        return pd.DataFrame(columns=columns, dtype=object) if found is None else found
-
-    return spread.groupBy("core_", "i_", "j_").applyInPandas(apply, kinds)
-
-
 def resampled_edges(clr: DataFrame, replicates: int, cutoff: float = 0.55, min_samples: int = 8, block_values: int = BLOCK_VALUES) -> DataFrame:
     """``(core, replicate, src, dst, r)`` of the pairs with \\|r\\| of at least ``cutoff`` in replicates 0 to ``replicates``, src < dst.
 
@@ -94,7 +71,7 @@ def resampled_edges(clr: DataFrame, replicates: int, cutoff: float = 0.55, min_s
             return None
         return pd.DataFrame({"core": [core] * len(r), "replicate": replicate, "src": src.tolist(), "dst": dst.tolist(), "r": r})
 
-    return _by_blocks(rows, longest, work, "core string, replicate int, src string, dst string, r double", block_values)
+    return by_blocks(rows, longest, work, "core string, replicate int, src string, dst string, r double", block_values)
 
 
 def linked_modules(edges: DataFrame) -> DataFrame:
@@ -167,7 +144,7 @@ def preservation(clr: DataFrame, modules: DataFrame, reference: str, permutation
                 out.append((core, name, p, float(len(h)), h.sum(), t.sum(), (h * t).sum(), (h * h).sum(), (t * t).sum()))
         return pd.DataFrame(out, columns=["core", "module", "p", "n", "sh", "st", "sht", "shh", "stt"])
 
-    sums = _by_blocks(rows, longest + permutations, work, "core string, module string, p int, n double, sh double, st double, sht double, shh double, stt double", block_values)
+    sums = by_blocks(rows, longest + permutations, work, "core string, module string, p int, n double, sh double, st double, sht double, shh double, stt double", block_values)
     sums = sums.groupBy("core", "module", "p").agg(*[F.sum(c).alias(c) for c in ("n", "sh", "st", "sht", "shh", "stt")])
     n = F.col("n")
     spread = F.sqrt((n * F.col("shh") - F.col("sh") * F.col("sh")) * (n * F.col("stt") - F.col("st") * F.col("st")))

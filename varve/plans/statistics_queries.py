@@ -31,7 +31,7 @@ def pearson(d: Domain):
     GROUP BY ALL HAVING stddev_pop(a.k)>0 AND stddev_pop(b.k)>0) WHERE n>=8 AND abs(r)>=0.55""".replace("ranked", "(SELECT core,label,taxon, rank() OVER (PARTITION BY core,taxon ORDER BY clr)+(count(*) OVER (PARTITION BY core,taxon,clr)-1)/2.0 AS k FROM clr5)"),
 )
 def spearman(d: Domain):
-    r = graphs.correlations(d.clr_primary, "spearman").where(F.abs("r") >= 0.55)
+    r = graphs.correlations(d.clr_primary, "spearman", cutoff=0.55)
     return r.select("core", "src", "dst", F.round("r", 6).alias("rho"))
 
 
