@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.plans import aggregations, cluster_queries, graph_queries, knowledge, link_queries, relational, resampling_queries, retrieval, state_queries, statistics_queries, sweep_queries  # noqa: F401
+from varve.plans import aggregations, cluster_queries, graph_queries, knowledge, link_queries, relational, resampling_queries, retrieval, state_queries, statistics_queries, stream_queries, sweep_queries  # noqa: F401
 from varve.plans.base import ORACLES, QUERIES
 from varve.sources.domain import Domain
 

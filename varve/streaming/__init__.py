@@ -1 +1 @@
-
+"""Streams: an extension, since the reference works on finished tables only."""
