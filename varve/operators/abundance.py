@@ -33,12 +33,15 @@ def prevalent_taxa(totals: DataFrame, thresholds: list[int]) -> DataFrame:
     return seen.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds]))).where("n_samples >= threshold")
 
 
-def zero_filled(totals: DataFrame, prevalent: DataFrame, samples: DataFrame) -> DataFrame:
+def zero_filled(totals: DataFrame, prevalent: DataFrame, samples: DataFrame, spread: int = 32) -> DataFrame:
     """Every sample of every prevalent taxon, absent cells as 0.
 
-    The grid is the output itself (samples x taxa kept), so its size is that of the matrix asked for.
+    The grid is the output itself (samples x taxa kept), so its size is that of the matrix asked for. It is an equi-join on
+    ``spread`` groups of samples, which Spark broadcasts or shuffles by size, so neither side is computed anew per partition.
     """
-    grid = prevalent.select("threshold", "taxon").crossJoin(samples.select("label"))
+    grouped = samples.select("label", F.pmod(F.xxhash64("label"), F.lit(spread)).cast("int").alias("group_"))
+    taxa = prevalent.select("threshold", "taxon", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("group_"))
+    grid = taxa.join(grouped, "group_").drop("group_")
     return grid.join(totals.select("taxon", "label", "abundance"), ["taxon", "label"], "left").fillna(0.0, ["abundance"])
 
 
