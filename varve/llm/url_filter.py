@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.operators.components import connected_components
+from varve.operators.staging import Workspace
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to so many rules are evaluated as expressions in the scan; more are joined by host.
@@ -87,7 +88,12 @@ def match_rules(urls: DataFrame, rules: list[tuple[str, str]], host: str = "host
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(src, dst)`` resource pairs from canonical links and meta refreshes in the HTML; relative targets are resolved."""
+    """``(src, dst)`` resource pairs from canonical links and meta refreshes in the HTML; relative targets are resolved.
+
+    Each step names its input many times, so the steps are stored one after the other: merged into one expression
+    they would grow with the product of these numbers.
+    """
+    ws = Workspace(pages.sparkSession, "page-edges")
     link = F.regexp_extract(html, r"(?i)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     refresh = F.regexp_extract(
         html, r"(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*([^\"'\s>]+)", 1
@@ -102,7 +108,9 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         .when(F.col("to").startswith("/"), F.concat(origin, F.col("to")))
         .otherwise(F.concat(base, F.col("to")))
     )
-    edges = found.select(url_node(F.col("url")).alias("src"), url_node(_without_dots(target)).alias("dst"))
+    resolved = ws.table(found.select("url", target.alias("to")), "resolved")
+    clean = ws.table(resolved.select("url", _without_dots(F.col("to")).alias("to")).distinct(), "clean")
+    edges = ws.table(clean.select(url_node(F.col("url")).alias("src"), url_node(F.col("to")).alias("dst")), "edges")
     return edges.where("src is not null and dst is not null and src <> dst").distinct()
 
 
@@ -133,7 +141,7 @@ def alias_edges(urls: DataFrame, url: str = "url") -> DataFrame:
     query = F.regexp_extract(_rest(F.col(url)), r"^[^?#]*\?([^#]*)", 1)
     params = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.startswith("utm_")), "&")
     target = F.concat(F.lit("https://"), host, F.when(path == "", "/").otherwise(path), F.when(params == "", "").otherwise(F.concat(F.lit("?"), params)))
-    edges = urls.select(src.alias("src"), target.alias("dst"))
+    edges = Workspace(urls.sparkSession, "alias-edges").table(urls.where(F.col(url).isNotNull()).distinct().select(src.alias("src"), target.alias("dst")), "edges")
     return edges.where(F.regexp_like("src", F.lit("^https?://")) & (F.col("src") != F.col("dst"))).distinct()
 
 
