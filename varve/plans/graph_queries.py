@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from varve.functions import columns as C
 from varve.functions.columns import n_rows
 from varve.operators import graphs, ordered
+from varve.operators.staging import Workspace
 from varve.plans.base import query
 from varve.sources.domain import Domain
 
@@ -128,6 +129,58 @@ def soft_power(d: Domain):
     return k.groupBy("core", "power").agg(F.round(F.avg("k"), 6).alias("mean_k"))
 
 
+#: Powers that are tried, bins of the connectivity distribution, and the fit that is wanted.
+POWERS, FIT_BINS, WANTED_FIT = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 18, 20), 10, 0.8
+
+_SCALE_FREE = f""", k AS (SELECT core, taxon, power, sum(pow((1+r)/2,power)) AS k FROM (SELECT core, src AS taxon, r FROM corrs UNION ALL SELECT core, dst, r FROM corrs), (SELECT unnest({list(POWERS)}) AS power) GROUP BY ALL),
+    e AS (SELECT core, power, min(k) AS lo, max(k) AS hi, count(*) AS n, avg(k) AS mean_k FROM k GROUP BY ALL),
+    bins AS (SELECT core, power, greatest(ceil(round((k-lo)/(hi-lo)*{FIT_BINS},9))-1,0)::INT AS bin, avg(k) AS k, count(*) AS c FROM k JOIN e USING (core, power) WHERE hi-lo>1e-12 GROUP BY ALL),
+    pts AS (SELECT g.core, g.power, ln(coalesce(b.k, lo+(hi-lo)*(g.bin+0.5)/{FIT_BINS})) AS x, ln(coalesce(b.c,0)*1.0/n+1e-9) AS y FROM (SELECT *, unnest(range({FIT_BINS})) AS bin FROM e WHERE hi-lo>1e-12) g LEFT JOIN bins b ON b.core=g.core AND b.power=g.power AND b.bin=g.bin),
+    fit AS (SELECT core, power, corr(x,y) AS c FROM pts GROUP BY ALL), scored AS (SELECT e.core, e.power, -sign(c)*c*c AS fit, mean_k FROM e LEFT JOIN fit USING (core, power))"""
+
+
+def scale_free_fits(d: Domain) -> DataFrame:
+    """``(core, power, mean_k, fit)``: mean connectivity and signed R2 of ln p(k) on ln k over ten bins, positive where p(k) falls.
+
+    A bin without taxa stands at its middle with the share 0; without spread there is no fit.
+    """
+    r = graphs.correlations(d.clr_primary)
+    ends = r.select("core", F.explode(F.array("src", "dst")).alias("taxon"), ((1 + F.col("r")) / 2).alias("a"))
+    sums = ends.groupBy("core", "taxon").agg(*[F.sum(F.pow("a", F.lit(p))).alias(f"k{p}") for p in POWERS])
+    k = sums.select("core", F.explode(F.array(*[F.struct(F.lit(p).alias("power"), F.col(f"k{p}").alias("k")) for p in POWERS])).alias("s")).select("core", "s.*")
+    k = Workspace(d.spark, "power").table(k, "connectivity")
+    ends = k.groupBy("core", "power").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("n"), F.avg("k").alias("mean_k"))
+    width = F.col("hi") - F.col("lo")
+    place = F.greatest(F.ceil(F.round((F.col("k") - F.col("lo")) / width * FIT_BINS, 9)) - 1, F.lit(0)).cast("int")
+    bins = k.join(ends.select("core", "power", "lo", "hi"), ["core", "power"]).where(width > 1e-12).groupBy("core", "power", place.alias("bin")).agg(F.avg("k").alias("k"), F.count(F.lit(1)).alias("c"))
+    grid = ends.where(width > 1e-12).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(FIT_BINS - 1)))).join(bins, ["core", "power", "bin"], "left")
+    x = F.log(F.coalesce("k", F.col("lo") + width * (F.col("bin") + 0.5) / FIT_BINS))
+    y = F.log(F.coalesce("c", F.lit(0)) / F.col("n") + 1e-9)
+    fit = grid.groupBy("core", "power").agg(F.corr(x, y).alias("c")).select("core", "power", (-F.signum("c") * F.col("c") * F.col("c")).alias("fit"))
+    return ends.select("core", "power", "mean_k").join(fit, ["core", "power"], "left")
+
+
+@query("g13_scale_free_fit", _SCALE_FREE + " SELECT core, power, round(mean_k,6) AS mean_k, round(fit,5) AS fit FROM scored")
+def scale_free_fit(d: Domain):
+    """Mean connectivity and signed scale-free fit of every core and power."""
+    return scale_free_fits(d).select("core", "power", F.round("mean_k", 6).alias("mean_k"), F.round("fit", 5).alias("fit"))
+
+
+@query(
+    "g13_power_choice",
+    _SCALE_FREE
+    + f""", own AS (SELECT core, coalesce(min(power) FILTER (WHERE round(fit,5)>={WANTED_FIT}), arg_max(power, round(fit,5)*1000-power)) AS power FROM scored WHERE fit IS NOT NULL GROUP BY core)
+    SELECT core, power::INT AS power, max(power) OVER ()::INT AS chosen FROM own""",
+)
+def power_choice(d: Domain):
+    """The smallest power of every core with the wanted fit, else that of the best fit (the smaller of equals), and the largest over the cores."""
+    fits = scale_free_fits(d).where("fit is not null").select("core", "power", F.round("fit", 5).alias("fit"))
+    own = fits.groupBy("core").agg(F.coalesce(F.min(F.when(F.col("fit") >= WANTED_FIT, F.col("power"))), F.max_by("power", F.col("fit") * 1000 - F.col("power"))).alias("power"))
+    own = Workspace(d.spark, "power").table(own, "choice")
+    chosen = own.agg(F.max("power").alias("chosen"))
+    return own.crossJoin(F.broadcast(chosen))
+
+
 @query(
     "g18_module_roles",
     """, nodes AS (SELECT l.core, l.src AS taxon, o.functional_group AS module, sum(weight) AS strength, sum(CASE WHEN o.functional_group=p.functional_group THEN weight ELSE 0 END) AS within
