@@ -47,7 +47,8 @@ def mutual_information(rho: str = "r"):
 
 def association_graph(clr: DataFrame, method: str = "pearson", cutoff: float = 0.55, min_samples: int = 8) -> DataFrame:
     if method == "mi_aracne":
-        mi = correlations(clr, "spearman", min_samples).select("core", "src", "dst", mutual_information().alias("weight")).where("weight > 0")
+        # Ten digits, so that equal associations do not differ by the order of a sum.
+        mi = correlations(clr, "spearman", min_samples).select("core", "src", "dst", F.round(mutual_information(), 10).alias("weight")).where("weight > 0")
         return aracne(mi).withColumn("signed_weight", F.col("weight"))
     r = correlations(clr, method, min_samples, cutoff)
     return r.select("core", "src", "dst", F.col("r").alias("signed_weight"), F.abs("r").alias("weight"))

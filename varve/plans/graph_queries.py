@@ -46,7 +46,13 @@ def core_dispatch(d: Domain):
     return d.meta.groupBy("core").agg(n_rows().alias("samples")).where("samples >= 8")
 
 
-@query("g04_aracne")
+@query(
+    "g04_aracne",
+    """, ranked AS (SELECT core, label, taxon, rank() OVER (PARTITION BY core, taxon ORDER BY clr)+(count(*) OVER (PARTITION BY core, taxon, clr)-1)/2.0 AS k FROM clr5),
+    rho AS (SELECT a.core, a.taxon AS src, b.taxon AS dst, corr(a.k,b.k) AS r FROM ranked a JOIN ranked b ON a.core=b.core AND a.label=b.label AND a.taxon<b.taxon GROUP BY ALL HAVING count(*)>=8 AND stddev_pop(a.k)>0 AND stddev_pop(b.k)>0),
+    mi AS (SELECT core, src, dst, round(-0.5*ln(1-least(r*r,0.999999)),10) AS w FROM rho WHERE round(-0.5*ln(1-least(r*r,0.999999)),10)>0), ways AS (SELECT core, src AS a, dst AS b, w FROM mi UNION ALL SELECT core, dst, src, w FROM mi)
+    SELECT core, src, dst, round(w,6) AS mi FROM mi WHERE NOT EXISTS (SELECT 1 FROM ways x JOIN ways y ON y.core=x.core AND y.a=x.b WHERE x.core=mi.core AND x.a=mi.src AND y.b=mi.dst AND mi.w<least(x.w,y.w))""",
+)
 def aracne(d: Domain):
     return graphs.association_graph(d.clr_primary, "mi_aracne").select("core", "src", "dst", F.round("weight", 6).alias("mi"))
 
@@ -194,9 +200,21 @@ def module_roles(d: Domain):
     return r.select("core", "taxon", "module", F.round("participation", 6).alias("participation"), F.round("z", 5).alias("z"))
 
 
-@query("g19_page_rank")
+_RANKS = ", ".join(
+    f"""r{i + 1} AS (SELECT n.core, n.taxon, n.n, 0.15/n.n+0.85*coalesce(g.got,0) AS rank FROM r0 n LEFT JOIN (SELECT s.core, s.dst AS taxon, sum(r.rank*s.share) AS got FROM shares s JOIN r{i} r ON r.core=s.core AND r.taxon=s.src GROUP BY ALL) g
+    ON g.core=n.core AND g.taxon=n.taxon)"""
+    for i in range(20)
+)
+
+
+@query(
+    "g19_page_rank",
+    f""", shares AS MATERIALIZED (SELECT core, src, dst, weight/sum(weight) OVER (PARTITION BY core, src) AS share FROM links),
+    r0 AS MATERIALIZED (SELECT core, taxon, n, 1.0/n AS rank FROM (SELECT core, taxon, count(*) OVER (PARTITION BY core) AS n FROM (SELECT DISTINCT core, src AS taxon FROM links))), {_RANKS.replace(" AS (SELECT n.core", " AS MATERIALIZED (SELECT n.core")}
+    SELECT core, taxon, round(rank,8) AS rank FROM r20""",
+)
 def page_rank(d: Domain):
-    return graphs.page_rank(d.edges)
+    return graphs.page_rank(d.edges).withColumn("rank", F.round("rank", 8))
 
 
 @query("g21_path_measures")

@@ -35,7 +35,13 @@ def spearman(d: Domain):
     return r.select("core", "src", "dst", F.round("r", 6).alias("rho"))
 
 
-@query("t03_bicor")
+@query(
+    "t03_bicor",
+    """, a1 AS (SELECT core, label, taxon, clr, clr-median(clr) OVER w AS dev, clr-avg(clr) OVER w AS centred FROM clr5 WINDOW w AS (PARTITION BY core, taxon)), a2 AS (SELECT *, median(abs(dev)) OVER (PARTITION BY core, taxon) AS mad FROM a1),
+    a3 AS (SELECT core, label, taxon, CASE WHEN mad=0 THEN centred WHEN abs(dev/(9*mad))<1 THEN dev*pow(1-pow(dev/(9*mad),2),2) ELSE 0 END AS c FROM a2), a4 AS (SELECT *, sqrt(sum(c*c) OVER (PARTITION BY core, taxon)) AS len FROM a3),
+    p AS (SELECT a.core, a.taxon AS src, b.taxon AS dst, count(*) AS n, sum(a.c/a.len*b.c/b.len) AS r FROM a4 a JOIN a4 b ON a.core=b.core AND a.label=b.label AND a.taxon<b.taxon WHERE a.len>1e-12 AND b.len>1e-12 GROUP BY ALL)
+    SELECT core, src, dst, round(r,6) AS r FROM p WHERE n>=8 AND abs(r)>=0.55""",
+)
 def bicor(d: Domain):
     return graphs.association_graph(d.clr_primary, "bicor").select("core", "src", "dst", F.round("signed_weight", 6).alias("r"))
 
@@ -181,13 +187,22 @@ def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, e: pd.Series) -> pd.S
     return pd.Series([p(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(a, b, c, e)])
 
 
-@query("t09_fisher")
+@query(
+    "t09_fisher",
+    """, t AS (SELECT taxon, count(*) FILTER (WHERE mis>4 AND abundance>0) AS a, count(*) FILTER (WHERE mis>4 AND NOT abundance>0) AS b, count(*) FILTER (WHERE NOT mis>4 AND abundance>0) AS c, count(*) FILTER (WHERE NOT mis>4 AND NOT abundance>0) AS e FROM clr5 GROUP BY taxon),
+    u AS (SELECT *, a+b AS r, a+c AS k, a+b+c+e AS n FROM t), l AS (SELECT *, unnest(range(greatest(0,r-(n-k)), least(r,k)+1)) AS i FROM u),
+    g AS (SELECT taxon, a, b, c, e, i, lgamma(k+1)-lgamma(i+1)-lgamma(k-i+1)+lgamma(n-k+1)-lgamma(r-i+1)-lgamma(n-k-r+i+1)-lgamma(n+1)+lgamma(r+1)+lgamma(n-r+1) AS x FROM l),
+    p AS (SELECT taxon, a, b, c, e, least(1.0,sum(exp(x)) FILTER (WHERE x<=seen+1e-7)) AS p FROM (SELECT *, max(CASE WHEN i=a THEN x END) OVER (PARTITION BY taxon) AS seen FROM g) GROUP BY ALL),
+    s AS (SELECT p, count(*) AS m FROM (SELECT round(p,9) AS p FROM p) GROUP BY p), f AS (SELECT p, p*(SELECT count(*) FROM t)/sum(m) OVER (ORDER BY p) AS raw FROM s), q AS (SELECT p, least(1.0,min(raw) OVER (ORDER BY p DESC)) AS q FROM f)
+    SELECT taxon, a, b, c, e, q.p, round(log2((a+0.5)/(c+0.5)),6) AS log2fc, round(q.q,8) AS q, CASE WHEN round(q.q,8)<0.1 THEN CASE WHEN log2((a+0.5)/(c+0.5))>0 THEN 'cold' ELSE 'warm' END ELSE 'neutral' END AS class FROM p JOIN q ON q.p=round(p.p,9)""",
+)
 def fisher(d: Domain):
     cold = F.col("mis") > 4
     hit = F.col("abundance") > 0
     counts = d.clr_primary.groupBy("taxon").agg(*[F.count_if(x).alias(n) for n, x in (("a", cold & hit), ("b", cold & ~hit), ("c", ~cold & hit), ("e", ~cold & ~hit))])
-    tested = counts.withColumn("p", fisher_exact("a", "b", "c", "e")).withColumn("log2fc", F.log2((F.col("a") + 0.5) / (F.col("c") + 0.5)))
-    return benjamini_hochberg(tested).withColumn("class", F.when(F.col("q") < 0.1, F.when(F.col("log2fc") > 0, "cold").otherwise("warm")).otherwise("neutral"))
+    # Nine digits: equal tables reach equal values by different sums.
+    tested = counts.withColumn("p", F.round(fisher_exact("a", "b", "c", "e"), 9)).withColumn("log2fc", F.round(F.log2((F.col("a") + 0.5) / (F.col("c") + 0.5)), 6))
+    return benjamini_hochberg(tested).withColumn("q", F.round("q", 8)).withColumn("class", F.when(F.col("q") < 0.1, F.when(F.col("log2fc") > 0, "cold").otherwise("warm")).otherwise("neutral"))
 
 
 @query(
