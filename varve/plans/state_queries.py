@@ -10,7 +10,7 @@ from varve.operators.staging import Workspace
 from varve.plans.base import query
 from varve.sources.domain import Domain
 
-STATES, STARTS, VALUES, ROUNDS = [2, 3, 4, 5], 3, 3, 30
+STATES, STARTS, VALUES, ROUNDS = [2, 3, 4, 5], 3, 3, 20
 #: The core that is held out when the number of states is chosen, and the difference in BIC below which fits count as equal.
 VALIDATION, AMBIGUOUS = "EUROPE", 10.0
 
