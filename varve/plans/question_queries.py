@@ -136,21 +136,15 @@ def functional_answer(d: Domain):
     return counts.withColumn("r", r).where("r <= 10").drop("r")
 
 
-@query(
-    "q11_retrieval_bundle",
-    _VIEWS
-    + """, parts AS (SELECT session, question_id, card_id, 0 AS source FROM hits UNION ALL SELECT session, question_id, c.card_id, 1 FROM focus JOIN qcards c ON c.card_type='taxon' AND c.entity_id=taxon
+_BUNDLE = _VIEWS + """, parts AS (SELECT session, question_id, card_id, 0 AS source FROM hits UNION ALL SELECT session, question_id, c.card_id, 1 FROM focus JOIN qcards c ON c.card_type='taxon' AND c.entity_id=taxon
       UNION ALL SELECT DISTINCT session, question_id, c.card_id, 2 FROM focus JOIN taxa USING (taxon) JOIN qcards c ON c.card_type='module' AND c.entity_id=functional_group UNION ALL SELECT session, question_id, c.card_id, 3 FROM ctx JOIN qcards c ON c.card_type='site' AND c.entity_id=session),
     once AS (SELECT session, question_id, card_id, min(source) AS source FROM parts GROUP BY ALL),
-    b AS (SELECT session, question_id, card_id, card_type, entity_id, source, CASE card_type WHEN 'module' THEN 1 WHEN 'taxon' THEN 2 WHEN 'site' THEN 3 WHEN 'sample' THEN 4 ELSE 9 END AS priority FROM once JOIN qcards USING (card_id))
-    SELECT session, question_id, card_id, card_type, source, priority, row_number() OVER (PARTITION BY session, question_id ORDER BY priority, entity_id, card_id) AS position FROM b""",
-)
-def retrieval_bundle(d: Domain):
-    """All cards a question rests on: its hits, then cards of its taxa, of their modules and of its site, each once, by the first source.
+    b AS (SELECT session, question_id, card_id, card_type, entity_id, title, source, CASE card_type WHEN 'module' THEN 1 WHEN 'taxon' THEN 2 WHEN 'site' THEN 3 WHEN 'sample' THEN 4 ELSE 9 END AS priority FROM once JOIN qcards USING (card_id)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY session, question_id ORDER BY priority, entity_id, card_id) AS position FROM b)"""
 
-    Cards are placed by the priority of their type, then by entity.
-    """
-    a = _Answers(d)
+
+def _bundle(d: Domain, a: _Answers) -> DataFrame:
+    """``(session, question_id, card_id, card_type, title, source, priority, position)`` of the cards every question rests on."""
     keys = ["session", "question_id"]
     focus = a.context.select(*keys, F.explode("taxa").alias("taxon"))
     of = lambda kind, entity: a.cards.where(F.col("card_type") == kind).select("card_id", F.col("entity_id").alias(entity))
@@ -161,11 +155,55 @@ def retrieval_bundle(d: Domain):
         a.context.join(of("site", "session"), "session").select(*keys, "card_id"),
     ]
     rows = reduce(DataFrame.unionByName, [p.withColumn("source", F.lit(i)) for i, p in enumerate(parts)])
-    once = rows.groupBy(*keys, "card_id").agg(F.min("source").alias("source")).join(a.cards.select("card_id", "card_type", "entity_id"), "card_id")
+    once = rows.groupBy(*keys, "card_id").agg(F.min("source").alias("source")).join(a.cards.select("card_id", "card_type", "entity_id", "title"), "card_id")
     priority = reduce(lambda c, p: c.when(F.col("card_type") == p[0], p[1]), PRIORITY.items(), F.when(F.lit(False), 9)).otherwise(9)
     once = once.withColumn("priority", priority)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("priority", "entity_id", "card_id"))
-    return once.select(*keys, "card_id", "card_type", "source", "priority", place.alias("position"))
+    return once.select(*keys, "card_id", "card_type", "title", "source", "priority", place.alias("position"))
+
+
+@query("q11_retrieval_bundle", _BUNDLE + " SELECT session, question_id, card_id, card_type, source, priority, position FROM placed")
+def retrieval_bundle(d: Domain):
+    """All cards a question rests on: its hits, then cards of its taxa, of their modules and of its site, each once, by the first source.
+
+    Cards are placed by the priority of their type, then by entity.
+    """
+    return _bundle(d, _Answers(d)).drop("title")
+
+
+# What a prompt tells the reader of the evidence.
+PROMPT_RULES = [
+    "You are answering a scientific question using retrieval evidence.",
+    "Use only the supplied evidence cards and graph context.",
+    "Cite card_id values inline when making factual claims.",
+    "If evidence is weak or missing, say so explicitly.",
+    "Return JSON with keys: answer, evidence_ids, observations, predictions, uncertainty, followups.",
+]
+PROMPT_CARDS = 12
+PROMPT_END = ["Response rule:", "Return a concise synthesis, list the strongest evidence IDs, and separate observations from predictions."]
+
+
+@query(
+    "q12_prompts",
+    _BUNDLE
+    + f""", lines AS (SELECT session, question_id, string_agg('- ['||card_id||'] '||title, chr(10) ORDER BY position) AS cards FROM placed WHERE position<={PROMPT_CARDS} GROUP BY ALL)
+    SELECT session, question_id, '{"'||chr(10)||'".join(PROMPT_RULES)}'||chr(10)||chr(10)||'Question: '||text||chr(10)||'Query type: '||CASE WHEN regexp_matches(lower(text),'functional capabilities|what are the top functional') THEN 'functional' ELSE 'general' END
+    ||chr(10)||chr(10)||'Top retrieved evidence cards:'||chr(10)||coalesce(cards,'- No evidence cards retrieved.')
+    ||CASE WHEN len(taxa)>0 THEN chr(10)||'Functional capability tables available for the context taxa.'||chr(10)||'Taxon node context available for '||len(taxa)||' taxa.' ELSE '' END||chr(10)||chr(10)||'{"'||chr(10)||'".join(PROMPT_END)}' AS prompt
+    FROM ctx LEFT JOIN lines USING (session, question_id)""",
+)
+def prompts(d: Domain):
+    """The text that hands every question with its first 12 cards to a reader: rules, question, cards, context, how to answer."""
+    a = _Answers(d)
+    first = _bundle(d, a).where(F.col("position") <= PROMPT_CARDS).select("session", "question_id", F.struct("position", F.concat(F.lit("- ["), "card_id", F.lit("] "), "title").alias("line")).alias("l"))
+    cards = first.groupBy("session", "question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda s: s["line"]), "\n").alias("cards"))
+    n = F.size("taxa")
+    context = F.when(n > 0, F.format_string("\nFunctional capability tables available for the context taxa.\nTaxon node context available for %d taxa.", n)).otherwise("")
+    text = F.concat(
+        F.lit("\n".join(PROMPT_RULES) + "\n\nQuestion: "), "text", F.lit("\nQuery type: "), C.intent(F.col("text")),
+        F.lit("\n\nTop retrieved evidence cards:\n"), F.coalesce("cards", F.lit("- No evidence cards retrieved.")), context, F.lit("\n\n" + "\n".join(PROMPT_END)),
+    )
+    return a.context.join(cards, ["session", "question_id"], "left").select("session", "question_id", text.alias("prompt"))
 
 
 @query(
