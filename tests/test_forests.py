@@ -7,6 +7,7 @@ import pytest
 
 from varve.operators import forests
 from varve.operators.staging import Workspace
+from varve.plans import forest_queries
 
 SMALL = forests.Forest(trees=60, tuning_trees=20, depth=5, folds=3)
 N, P = 240, 24
@@ -89,3 +90,13 @@ def test_odd_samples(spark):
     assert names == ["a", "c"] and {(r.id, r.label, tuple(r.x)) for r in rows.collect()} == {(1, "w", (3.0, 0.0)), (2, "y", (5.0, 0.0))}
     rows, names = forests.samples(values.limit(0), labels)
     assert names == [] and rows.count() == 0 and forests.indexed(rows)[1] == []
+
+
+def test_reported_quality_is_read_from_a_table(spark, planted):
+    """The plan that is handed out must not hold the fitted model: sending it failed on sf0.01."""
+    dealt, _, _ = planted
+    model = SMALL.classifier(4).fit(dealt.where("train"))
+    found = forest_queries.judged_by(model, dealt.where("not train"), Workspace(spark, "test-judged"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan and "predict" not in plan.replace("prediction", "").replace("predicted", "")
+    assert found.first() == forests.quality(model.transform(dealt.where("not train"))).first()
