@@ -59,3 +59,35 @@ def test_gls_equals_one_fit_over_all_cores(spark):
         fits.append((-len(x) / 2 * np.log(rss) - np.linalg.slogdet(v)[1] / 2, phi, beta[0], np.sqrt(rss / (len(x) - 4) * cov[0, 0])))
     _, phi, slope, se = max(fits)
     assert np.allclose([found["t"][k] for k in ("phi", "slope", "se", "t")], [phi, slope, se, slope / se], rtol=1e-5)
+
+
+def test_gls_of_a_long_core_needs_no_square_of_it(spark):
+    """Equal and very near ages, a phi of the grid and all others, against whitening by the whole matrix; then 20,000 rows of a core."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from varve.plans import statistics_queries as sq
+
+    pick = np.random.default_rng(8)
+
+    def table(n, taxa):
+        age = np.round(pick.uniform(0, 150, n), 3)
+        age[: n // 10] = age[n // 10 : 2 * (n // 10)]
+        return pd.concat([pd.DataFrame({"taxon": f"t{i}", "age": age, "x": 3 + pick.normal(size=n), "y": pick.normal(size=n)})[: n - 3 * i] for i in range(taxa)])
+
+    small = table(60, 3).sample(frac=1, random_state=1)
+    got = sq._gls_terms(small).set_index(["taxon", "phi"])
+    for taxon, part in small.groupby("taxon"):
+        far = np.abs(part.age.to_numpy()[:, None] - part.age.to_numpy()[None, :])
+        for phi in sq._PHIS:
+            low = np.linalg.cholesky((np.power(phi, far) if phi else np.eye(len(part))) + 1e-8 * np.eye(len(part)))
+            one, a, b = np.linalg.solve(low, np.column_stack([np.ones(len(part)), part.x, part.y])).T
+            a, b = a - one * (one @ a) / (one @ one), b - one * (one @ b) / (one @ one)
+            want = [len(part), a @ a, a @ b, b @ b, np.log(np.diag(low)).sum()]
+            assert np.allclose(got.loc[(taxon, phi)].to_numpy(float), want, rtol=1e-5), (taxon, phi)
+    large = table(20_000, 1)
+    tracemalloc.start()
+    assert (sq._gls_terms(large).n == 20_000).all()
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()

@@ -111,29 +111,64 @@ def variance_by_core(d: Domain):
 _PHIS = np.linspace(0, 0.95, 20)
 
 
-def _gls_terms(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per phi the sums of squares and products of one taxon and core, whitened by phi^|age difference| and freed of the core's mean."""
-    taxon, n = pdf["taxon"].iloc[0], len(pdf)
-    y, x, age = (pdf[c].to_numpy(float) for c in ("y", "x", "age"))
-    far, rows = np.abs(age[:, None] - age[None, :]), []
-    for phi in _PHIS:
-        v = np.power(phi, far) if phi else np.eye(n)
-        low = np.linalg.cholesky(v + 1e-8 * np.eye(n))
-        one, a, b = np.linalg.solve(low, np.column_stack([np.ones(n), x, y])).T
-        a, b = a - one * (one @ a) / (one @ one), b - one * (one @ b) / (one @ one)
-        rows.append((taxon, phi, n, a @ a, a @ b, b @ b, np.log(np.diag(low)).sum()))
-    return pd.DataFrame(rows, columns=["taxon", "phi", "n", "xx", "xy", "yy", "log_det"])
+#: Variance that is added to every row of its own, and rows that one task of the fit holds.
+_NUGGET, _GLS_ROWS = 1e-8, 1 << 19
+
 
+def _gls_terms(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Per phi the sums of squares and products of the taxa of one core, whitened by phi^|age difference| and freed of the core's mean.
 
-def exponential_gls(rows: DataFrame) -> DataFrame:
+    In the order of age the errors are a Markov process seen with a little noise, so a row is whitened by what a filter over the
+    rows before it leaves: time and memory grow with the rows, not with their square. All taxa of the group take a step at a time.
+    """
+    pdf = pdf.sort_values(["taxon", "age"])
+    taxa, first, sizes = np.unique(pdf["taxon"].to_numpy(dtype=object), return_index=True, return_counts=True)
+    order = np.argsort(-sizes, kind="stable")  # the longest first: those still going are a prefix
+    taxa, first, sizes = taxa[order], first[order], sizes[order]
+    y, x, age = (pdf[c].to_numpy(float) for c in ("y", "x", "age"))
+    centre = lambda v: v - np.repeat([v[i : i + n].mean() for i, n in zip(first, sizes)], sizes)[np.argsort(np.concatenate([np.arange(i, i + n) for i, n in zip(first, sizes)]))]
+    x, y = centre(x), centre(y)  # what the mean takes away is free, and constant values are at exactly 0
+    shape = (len(_PHIS), len(taxa))
+    log_phi = np.log(np.where(_PHIS > 0, _PHIS, 1))[:, None]
+    known = np.zeros((3, *shape))  # what the rows so far say of one, x and y
+    spread, log_det = np.ones(shape), np.zeros(shape)
+    sums = {k: np.zeros(shape) for k in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))}
+    for t in range(int(sizes[0])):
+        on = int(np.searchsorted(-sizes, -t, side="left"))  # taxa with more than t rows
+        at = first[:on] + t
+        if t:
+            gap = (age[at] - age[at - 1]) * log_phi
+            keep = np.where(_PHIS[:, None] > 0, np.exp(gap), 0.0)
+            lost = np.where(_PHIS[:, None] > 0, -np.expm1(2 * gap), 1.0)
+            ahead, p = known[:, :, :on] * keep, spread[:, :on] * keep * keep + lost
+        else:
+            ahead, p = known[:, :, :on], spread[:, :on]
+        total = p + _NUGGET
+        left = np.stack([np.ones(on), x[at], y[at]])[:, None, :] - ahead
+        known[:, :, :on] = ahead + left * (p / total)
+        spread[:, :on] = p * (_NUGGET / total)
+        log_det[:, :on] += 0.5 * np.log(total)
+        for (i, j), s in sums.items():
+            s[:, :on] += left[i] * left[j] / total
+    one = sums[0, 0]
+    xx, xy, yy = (sums[i, j] - sums[0, i] * sums[0, j] / one for i, j in ((1, 1), (1, 2), (2, 2)))
+    n = np.broadcast_to(sizes, shape)
+    return pd.DataFrame({"taxon": np.tile(taxa, len(_PHIS)), "phi": np.repeat(_PHIS, len(taxa)), "n": n.ravel(), "xx": xx.ravel(), "xy": xy.ravel(), "yy": yy.ravel(), "log_det": log_det.ravel()})
+
+
+def exponential_gls(rows: DataFrame, task_rows: int = _GLS_ROWS) -> DataFrame:
     """``(taxon, n, phi, slope, se, t)`` of y ~ x + core from (taxon, core, x, y, age); errors are correlated within a core only.
 
     phi is the one of a grid with the greatest profile likelihood. The samples of one taxon in one
-    core are one group; cores meet in sums. Rows with a null value are left out. Estimates are null
+    core meet in one task, with those of as many other taxa as ``task_rows`` allows; cores meet in sums.
+    Rows with a null value are left out. Estimates are null
     without degrees of freedom or where x or y does not vary within any core.
     """
-    known = rows.dropna(subset=["x", "y", "age"])
-    terms = known.groupBy("taxon", "core").applyInPandas(_gls_terms, "taxon string, phi double, n long, xx double, xy double, yy double, log_det double")
+    known = Workspace(rows.sparkSession, "gls").table(rows.dropna(subset=["x", "y", "age"]).select("taxon", "core", "x", "y", "age"), "known")
+    most = known.groupBy("core").count().agg(F.max("count")).first()[0] or 0
+    spread = max(-(-most // task_rows), 8)
+    dealt = known.groupBy("core", F.pmod(F.xxhash64("taxon"), F.lit(spread)).alias("part"))
+    terms = dealt.applyInPandas(_gls_terms, "taxon string, phi double, n long, xx double, xy double, yy double, log_det double")
     sums = terms.groupBy("taxon", "phi").agg(*[F.sum(c).alias(c) for c in ("n", "xx", "xy", "yy", "log_det")], (F.sum("n") - n_rows() - 1).alias("free"))
     fitted = (F.col("free") > 0) & (F.col("xx") > 1e-9) & (F.col("yy") > 1e-9)
     rss = F.greatest(F.col("yy") - F.col("xy") * F.col("xy") / F.col("xx"), F.lit(0.0))
