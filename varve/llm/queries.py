@@ -46,10 +46,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = pairwise_quality.fit(docs, _read(spark, sf_dir, "labels"))
-    scored = docs.select(
-        "doc_id", pairwise_quality.is_held_out(F.col("doc_id")).alias("held_out"), model.score(F.col("text")).alias("score")
+    texts = pairwise_quality.measured(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    model = pairwise_quality.fit_measured(texts, _read(spark, sf_dir, "labels"))
+    scored = texts.select(
+        "doc_id", pairwise_quality.is_held_out(F.col("doc_id")).alias("held_out"), model.score_measured(F.col("f")).alias("score")
     )
     return scored.withColumn("predicted", (F.col("score") >= pairwise_quality.ACCEPT).cast("int"))
 
