@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,22 +50,41 @@ def bicor(d: Domain):
 def gram_pca(rows: DataFrame, by: str, k: int = 3) -> DataFrame:
     """Scores and explained variance of the k first components of (entity, feature, x) per group.
 
-    The matrix of one group is decomposed in one task; its Gram matrix has the number of samples as
-    its side. The largest loading of each component is made positive.
+    Every entity of a group has the same features. Only sums of products of features leave the tasks and meet on the driver,
+    so neither a task nor the driver holds more than a batch of entities and the square of the number of features.
+    The largest loading of each component is made positive.
     """
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot(index="entity", columns="feature", values="x").sort_index()
-        x = m.to_numpy() - m.to_numpy().mean(0)
-        u, s, vt = np.linalg.svd(x, full_matrices=False)
-        k_ = min(k, len(s))
-        sign = np.sign(vt[np.arange(k_), np.abs(vt[:k_]).argmax(1)])
-        scores, total = u[:, :k_] * s[:k_] * sign, max((s**2).sum(), 1e-300)
-        return pd.DataFrame(
-            {by: pdf[by].iloc[0], "entity": np.repeat(m.index, k_), "component": np.tile(np.arange(1, k_ + 1), len(m)), "score": scores.ravel(), "explained": np.tile(s[:k_] ** 2 / total, len(m))}
-        )
-
-    return rows.groupBy(by).applyInPandas(fit, f"{by} int, entity long, component int, score double, explained double")
+    vectors = rows.groupBy(by, "entity").agg(F.array_sort(F.collect_list(F.struct("feature", "x"))).alias("v"))
+    stored = Workspace(rows.sparkSession, "pca").table(vectors.select(by, F.col("entity").cast("long").alias("entity"), F.transform("v", lambda v: v["x"]).alias("z")), "vectors")
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Per group the products of all features, a last one of ones among them."""
+        sums: dict = {}
+        for batch in batches:
+            for group, part in batch.groupby(by):
+                x = np.hstack([np.array(part["z"].tolist(), dtype=float), np.ones((len(part), 1))])
+                sums[group] = sums.get(group, 0) + x.T @ x
+        for group, m in sums.items():
+            yield pd.DataFrame({by: group, "i": np.arange(len(m)), "m": list(m)})
+
+    kind = dict(stored.dtypes)[by]
+    parts = stored.mapInPandas(moments, f"{by} {kind}, i int, m array<double>").select(by, "i", F.posexplode("m").alias("j", "x"))
+    cells: dict = {}
+    for r in parts.groupBy(by, "i", "j").agg(F.sum("x").alias("x")).collect():
+        cells.setdefault(r[by], {})[r["i"], r["j"]] = r["x"]
+    found = []
+    for group, cell in cells.items():
+        d = max(i for i, _ in cell)
+        m = np.array([[cell[i, j] for j in range(d + 1)] for i in range(d + 1)])
+        n, mean = m[d, d], m[d, :d] / m[d, d]
+        values, axes = np.linalg.eigh(m[:d, :d] - n * np.outer(mean, mean))
+        total = max(float(values.sum()), 1e-300)
+        for c, at in enumerate(np.argsort(-values, kind="stable")[: int(min(k, d, n))]):
+            load = axes[:, at] * np.sign(axes[np.abs(axes[:, at]).argmax(), at])
+            found.append((group, c + 1, load.tolist(), float(mean @ load), max(float(values[at]), 0.0) / total))
+    loads = rows.sparkSession.createDataFrame(found, f"{by} {kind}, component int, load array<double>, at_mean double, explained double")
+    score = F.aggregate(F.zip_with("z", "load", lambda p, q: p * q), -F.col("at_mean"), lambda s, p: s + p)
+    return stored.join(F.broadcast(loads), by).select(by, "entity", "component", score.alias("score"), "explained")  # k rows per group
 
 
 @query("t04_pca")
