@@ -79,7 +79,12 @@ def chunked(rows: DataFrame, sequence: str, order: list[str], values: list[str],
     found = placed.groupBy("sequence", F.expr(f"position div {length}").alias("chunk")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     found = ws.table(found.select(F.coalesce("sequence", F.lit("\u0000null")).alias("sequence"), "chunk", F.transform("rows", lambda r: r["key"]).alias("keys"), F.flatten(F.transform("rows", lambda r: r["x"])).alias("x")), "chunks")
     sizes = found.groupBy("sequence").agg((F.max("chunk") + 1).alias("n_chunks"))
-    return ws.table(found.join(sizes, "sequence"), "sized")
+    return ws.table(spread(found.join(sizes, "sequence")), "sized")
+
+
+def spread(chunks: DataFrame) -> DataFrame:
+    """Chunks dealt to as many tasks as the cluster runs at once: they are few bytes for much work, which Spark would put in one task."""
+    return chunks.repartition(chunks.sparkSession.sparkContext.defaultParallelism)
 
 
 def _tensor(part: pd.DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +213,7 @@ def _statistics(part: pd.DataFrame, i: int, m: Hmm) -> np.ndarray:
 def expectation(chunks: DataFrame, models: list[Hmm], ws: Workspace) -> list[np.ndarray]:
     """Per model the sums of ``_statistics`` over all chunks; only these sums reach the driver."""
     messages = _messages(chunks, models, _add, ws)
-    rows = chunks if messages is None else chunks.join(messages, ["sequence", "chunk"])
+    rows = chunks if messages is None else spread(chunks.join(messages, ["sequence", "chunk"]))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = [0.0] * len(models)
@@ -297,7 +302,7 @@ def decode(chunks: DataFrame, m: Hmm, ws: Workspace | None = None) -> DataFrame:
     for name, reduce in (("best", _best), ("all_", _add)):
         messages = _messages(chunks, [m], reduce, ws)
         if messages is not None:
-            rows = rows.join(messages.withColumnRenamed("messages", name), ["sequence", "chunk"])
+            rows = spread(rows.join(messages.withColumnRenamed("messages", name), ["sequence", "chunk"]))
     d = m.mean.shape[1]
     key = chunks.schema["keys"].dataType.elementType.simpleString()
 

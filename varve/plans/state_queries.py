@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from varve.operators import abundance
 from varve.operators import hidden_states as hs
 from varve.operators.staging import Workspace
 from varve.plans.base import query
-from varve.sources.domain import Domain
+from varve.sources.domain import PRIMARY, Domain
 
 STATES, STARTS, VALUES, ROUNDS = [2, 3, 4, 5], 3, 3, 20
 #: The core that is held out when the number of states is chosen, and the difference in BIC below which fits count as equal.
 VALIDATION, AMBIGUOUS = "EUROPE", 10.0
 
 
-def observations(d: Domain, ws: Workspace) -> DataFrame:
+def group_means(d: Domain, ws: Workspace) -> DataFrame:
+    """``(core, age_kyr, label, functional_group, v)``, stored: the mean log-ratio of every functional group in every sample."""
+    totals = ws.table(d.totals.select("taxon", "label", "abundance"), "totals")
+    prevalent = abundance.prevalent_taxa(totals, [PRIMARY]).select("taxon")
+    return ws.table(abundance.group_log_ratios(totals, prevalent, d.meta.select("core", "age_kyr", "label"), d.taxa.select("taxon", "functional_group").distinct()), "groups")
+
+
+def observations(means: DataFrame, ws: Workspace) -> DataFrame:
     """``(core, age_kyr, label, v1, v2, v3)``: mean log-ratio of the VALUES functional groups that vary most over the samples."""
-    means = ws.table(d.clr_primary.join(d.taxa.select("taxon", "functional_group"), "taxon").groupBy("core", "age_kyr", "label", "functional_group").agg(F.avg("clr").alias("v")), "groups")
     chosen = [r[0] for r in means.groupBy("functional_group").agg(F.round(F.var_samp("v"), 9).alias("s")).orderBy(F.desc_nulls_last("s"), "functional_group").limit(VALUES).collect()]
     value = lambda g: F.coalesce(F.max(F.when(F.col("functional_group") == g, F.col("v"))), F.lit(0.0))
     chosen += [None] * (VALUES - len(chosen))
@@ -45,13 +52,13 @@ def changes(decoded: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return steps.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.count("before").alias("n_steps"), F.sum((F.col("before") != F.col("state")).cast("long")).alias("switches"))
 
 
-def selection(d: Domain, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+def selection(d: Domain, ws: Workspace, means: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The comparison of the numbers of states and the observations.
 
     Fits on all cores but one, their BIC, and how the core left out is explained. Of the numbers whose BIC is within AMBIGUOUS of
     the best, the one with the largest held-out likelihood per sample is chosen; ties go to fewer switches, then to the BIC.
     """
-    rows = observations(d, ws)
+    rows = observations(group_means(d, ws) if means is None else means, ws)
     train, held = _chunks(rows.where(F.col("core") != VALIDATION), ws), _chunks(rows.where(F.col("core") == VALIDATION), ws)
     found = []
     n, n_held = hs.moments(train, VALUES)[0], hs.moments(held, VALUES)[0]
@@ -87,12 +94,12 @@ def hmm_selection(d: Domain):
     return table.select("k", *[F.round(c, 4).alias(c) for c in numbers], "held_states", "ambiguous", "selected")
 
 
-def decoded_states(d: Domain, ws: Workspace) -> DataFrame:
+def decoded_states(d: Domain, ws: Workspace, means: DataFrame | None = None) -> DataFrame:
     """``(label, core, age_kyr, mis, sst, state, posterior, name)``: the path of every core by the chosen model, fitted to all cores.
 
     The state with the largest mean ``mis`` is named G-A, the others IG-B, IG-C and so on by falling means.
     """
-    table, rows = selection(d, ws)
+    table, rows = selection(d, ws, means)
     chosen = table.where("selected").select("k").first()
     meta = d.meta.select("label", "core", "age_kyr", "mis", "sst")
     if chosen is None:
@@ -118,9 +125,10 @@ def hmm_states(d: Domain):
 def state_fingerprint(d: Domain):
     """Per state its samples, mean covariates, mean log-ratio of every functional group, and the share of glacial samples (mis of 4 or more)."""
     ws = Workspace(d.spark, "hmm")
-    states = ws.table(decoded_states(d, ws), "states")
-    groups = d.clr_primary.select("label", "taxon", "clr").join(d.taxa.select("taxon", "functional_group"), "taxon").join(states.select("label", "name"), "label")
-    profile = groups.groupBy("name", "functional_group").agg(F.avg("clr").alias("mean_clr"))
+    means = group_means(d, ws)
+    states = ws.table(decoded_states(d, ws, means), "states")
+    # Every sample has the same taxa, so the mean over a group's cells is that of its samples' means.
+    profile = means.join(states.select("label", "name"), "label").groupBy("name", "functional_group").agg(F.avg("v").alias("mean_clr"))
     own = states.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.avg("mis").alias("mean_mis"), F.avg("sst").alias("mean_sst"), (100 * F.avg((F.col("mis") >= 4).cast("int"))).alias("pct_glacial"))
     rounded = [F.round(c, 6).alias(c) for c in ("mean_mis", "mean_sst", "pct_glacial", "mean_clr")]
     return profile.join(own, "name").select("name", "n", "functional_group", *rounded)
