@@ -58,6 +58,7 @@ def _vectors(name: str, where: str) -> str:
 def link_features(d: Domain):
     """Features of every pair of taxa without an edge in any core."""
     ws = Workspace(d.spark, "links")
+    d = d.stored(ws)
     edges = ws.table(d.edges, "edges")
     found = links.absent_by_blocks(ws.table(nodes(d, edges, CORES), "nodes"), _as_links(edges).select("a", "b").distinct())
     return found.select(
@@ -93,6 +94,7 @@ def _holdout_sql(core: str) -> str:
 def link_holdout(d: Domain):
     """How well vectors of the other cores tell the edges of a core from as many absent pairs, for every core as the one held out."""
     ws = Workspace(d.spark, "holdout")
+    d = d.stored(ws)
     edges = ws.table(d.edges, "edges")
     rows = None
     for core in CORES:
@@ -129,6 +131,7 @@ def predicted_links(known: DataFrame, observed: DataFrame, ws: Workspace) -> Dat
 def link_prediction(d: Domain):
     """Every pair of taxa without an edge, scored by the calibrated model of its features."""
     ws = Workspace(d.spark, "links")
+    d = d.stored(ws)
     edges = ws.table(d.edges, "edges")
     known = ws.table(nodes(d, edges, CORES), "nodes")
     found = predicted_links(known, ws.table(_as_links(edges).select("a", "b").distinct(), "observed"), ws)
@@ -157,6 +160,7 @@ def site_links(d: Domain):
     A core's vector is the mean of its taxa's. Candidates are taxa x cores less what is seen, so no more than ``CORES`` rows a taxon.
     """
     ws = Workspace(d.spark, "site-links")
+    d = d.stored(ws)
     edges = ws.table(d.edges, "edges")
     known = ws.table(nodes(d, edges, CORES), "nodes")
     dims = len(CORES) * BINS

@@ -19,6 +19,7 @@ def assigned_taxa(d: Domain, ws: Workspace) -> tuple[DataFrame, DataFrame, int,
 
     Cores are coupled in proportion to the Jaccard index of their edges.
     """
+    d = d.stored(ws)
     edges = ws.table(d.edges, "edges")
     seen = ws.table(d.clr_primary.where("abundance > 0").select(F.col("core").alias("graph"), F.col("taxon").alias("node")).distinct(), "seen")
     first, second = soft_modules.dimensions(seen.select("node").distinct().count())
