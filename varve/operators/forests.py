@@ -7,10 +7,12 @@ the driver holds (names, importances). Fits are Spark ML's: bins and splits are
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorSlicer
@@ -52,11 +54,19 @@ def samples(values: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[str]]
     names = [r[0] for r in good.select("feature").distinct().orderBy("feature").collect()]
     spark = values.sparkSession
     place = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "feature string, at int")
-    summed = good.groupBy("id", "feature").agg(F.sum("value").alias("value")).join(place, "feature")
-    rows = summed.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("v"))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(max(len(names) - 1, 0))), lambda i: F.coalesce(F.try_element_at("v", i), F.lit(0.0)))
+    found = good.join(F.broadcast(place), "feature").groupBy("id").agg(F.collect_list(F.struct("at", "value")).alias("v"))
+    kind, n = found.schema["id"].dataType.simpleString(), len(names)
+
+    def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.zeros((len(batch), n))
+            for i, (at, value) in enumerate(zip(batch["at"], batch["value"], strict=True)):
+                np.add.at(x[i], at, value)
+            yield pd.DataFrame({"id": batch["id"], "a": list(x)})
+
+    rows = found.select("id", F.col("v.at").alias("at"), F.col("v.value").cast("array<double>").alias("value")).mapInPandas(filled, f"id {kind}, a array<double>")
     one = labels.where("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("label"))
-    return rows.select("id", filled.alias("a")).join(one, "id").select("id", "label", array_to_vector("a").alias("x")), names
+    return rows.join(one, "id").select("id", "label", array_to_vector("a").alias("x")), names
 
 
 def dealt(rows: DataFrame, share: float, folds: int, seed: int, ws: Workspace | None = None) -> DataFrame:
@@ -64,6 +74,8 @@ def dealt(rows: DataFrame, share: float, folds: int, seed: int, ws: Workspace |
     placed = ordered.positions(rows.withColumn("h_", hashed(F.lit(seed), F.col("id"))), [F.col("h_"), F.col("id")], ["label"], ws=ws)
     sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_"))  # a row per class
     out = placed.join(F.broadcast(sizes), "label")
+    # Every fit reads these rows, in as many tasks as they are stored in.
+    out = out.repartition(rows.sparkSession.sparkContext.defaultParallelism, "id")
     return out.select(*rows.columns, (F.col("position") < F.ceil(share * F.col("n_"))).alias("train"), (F.col("position") % folds).cast("int").alias("fold"))
 
 
