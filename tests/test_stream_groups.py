@@ -8,6 +8,8 @@ from datetime import datetime, timedelta, timezone
 import pytest
 
 from varve.operators.staging import Workspace
+from varve.plans import stream_queries
+from varve.sources.domain import Domain
 from varve.streaming import running
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -66,3 +68,13 @@ def test_keys_of_a_group_stay_apart_while_rows_settle(spark, kind, groups):
     assert len(kept) <= groups + 1
     waiting, newest = sum(len(running._unpacked(r.rows)) for r in kept), max(r[1] for r in rows if r[1])
     assert waiting == sum(r[1] is None or r[1] > newest - timedelta(hours=1) for r in rows)
+
+
+def test_triggers_do_not_grow_with_the_files(spark, sf, monkeypatch):
+    monkeypatch.setattr(stream_queries, "FILES", 30)
+    ws = Workspace(spark, "test")
+    events, folder = stream_queries._arriving(Domain(spark, sf), ws), f"{ws.root}/stream"
+    running.run(running.binned(events, "at", "6 hours", "400 days", ["event_type"], "value"), folder)
+    told = spark.read.parquet(f"{folder}/told")
+    assert told.select("batch").distinct().count() <= stream_queries.TRIGGERS + 1
+    assert sum(r.n for r in running.newest(told, ["bin", "event_type"]).collect()) == Domain(spark, sf).table("events").count()

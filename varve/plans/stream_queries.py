@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +13,8 @@ from varve.plans.base import query
 from varve.sources.domain import Domain
 from varve.streaming import running
 
-FILES, FILES_AT_ONCE = 8, 3
+#: However many files the writer makes of it, the stream is worked through in as many triggers.
+FILES, TRIGGERS = 8, 3
 #: Longer than the span of the events, which arrive in no order: none is late.
 DELAY = "400 days"
 
@@ -21,7 +24,8 @@ def _arriving(d: Domain, ws: Workspace) -> DataFrame:
     path = ws.path("arriving")
     rows = d.table("events").withColumn("at", F.col("ts").cast("timestamp"))
     rows.repartition(FILES, F.xxhash64("event_id")).write.parquet(path)
-    return d.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_AT_ONCE).parquet(path)
+    files = len(d.spark.read.schema(rows.schema).parquet(path).inputFiles())
+    return d.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, math.ceil(files / TRIGGERS))).parquet(path)
 
 
 def _told(d: Domain, ws: Workspace, stream: DataFrame, keys: list[str]) -> DataFrame:
