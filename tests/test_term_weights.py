@@ -7,7 +7,8 @@ from urllib.parse import urlparse
 
 from varve.operators import ordered, search_index
 from varve.operators.staging import Workspace
-from varve.plans.retrieval import tf_idf
+from varve.plans.retrieval import tf_idf, tf_idf_weights
+from varve.sources.domain import Domain
 
 
 def test_rows_of_terms_move_twice(spark):
@@ -30,3 +31,9 @@ def test_positions_drop_what_is_dealt_again(spark):
     ws = Workspace(spark, "test-positions")
     found = ordered.positions(spark.range(30), ["id"], ws=ws)
     assert sorted(n[4:] for n in os.listdir(urlparse(ws.root).path)) == ["before", "dealt"] and found.count() == 30
+
+
+def test_rows_by_term_are_stored_before_they_move_by_document(spark, sf):
+    plan = tf_idf_weights(Domain(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    # Only the rows by document are still to move; three before, all of whose files stayed to the end.
+    assert plan.count("Exchange hashpartitioning(") == 1, plan
